@@ -11,6 +11,18 @@ from tessera.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import warc
+
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+def op4_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import mpegts
+
+    return mpegts.read_media(mpegts.to_media(table(spark, sf_dir, "documents")))
+
+
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,8 +31,17 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_warc_chunks": op3_warc_chunks,
+    "op4_mpegts": op4_mpegts,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op8_simhash": op8_simhash,
 }
 
 SQL: dict[str, str] = {}
