@@ -23,6 +23,12 @@ def op4_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.read_media(mpegts.to_media(table(spark, sf_dir, "documents")))
 
 
+def op5_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,11 +43,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import decontaminate
+
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_warc_chunks": op3_warc_chunks,
     "op4_mpegts": op4_mpegts,
+    "op5_html_line_blocks": op5_html_line_blocks,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_simhash": op8_simhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 SQL: dict[str, str] = {}
