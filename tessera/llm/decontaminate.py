@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Share of an item's characters that may differ; characters of items that go to the tasks at once.
-RATE, BLOCK_CHARS = 0.05, 4_000_000
+RATE, BLOCK_CHARS = 0.08, 4_000_000
 
 Item = tuple[int | None, str]
 

@@ -11,6 +11,13 @@ from tessera.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import warc
 
@@ -50,6 +57,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
     "op3_warc_chunks": op3_warc_chunks,
     "op4_mpegts": op4_mpegts,
     "op5_html_line_blocks": op5_html_line_blocks,
