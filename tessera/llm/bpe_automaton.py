@@ -291,15 +291,15 @@ class Codec:
         ids = self.pool[np.repeat(self.offsets[found] - before, counts) + np.arange(int(counts.sum()))]
         return ids, np.add.reduceat(counts, np.searchsorted(starts, doc_starts)) if len(texts) else counts
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """ids of each text. Strings of special tokens become their ids, as in the tokenizers library."""
-        special, pieces, plan = self.automaton.special, [], []
+    def encode(self, texts: list[str], special: bool = True) -> list[np.ndarray]:
+        """ids of each text. Strings of special tokens become their ids, as in the tokenizers library, or else are text."""
+        marks, pieces, plan = self.automaton.special if special else {}, [], []
         for text in texts:
             parts: list[int] = []  # index of a piece, or minus an id less one
             rest = [text]
-            for word in special:
+            for word in marks:
                 if word in text:
-                    rest = [y for x in rest for y in ([x] if isinstance(x, int) else _split(x, word, -special[word] - 1))]
+                    rest = [y for x in rest for y in ([x] if isinstance(x, int) else _split(x, word, -marks[word] - 1))]
             for x in rest:
                 if isinstance(x, int):
                     parts.append(x)

@@ -11,6 +11,14 @@ from tessera.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm import separators
+
+    return separators.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50256)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import langid
 
@@ -57,6 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_separator_scan": op1_separator_scan,
     "op2_language_id": op2_language_id,
     "op3_warc_chunks": op3_warc_chunks,
     "op4_mpegts": op4_mpegts,
