@@ -97,7 +97,7 @@ def with_first(pages: DataFrame, key: str = "page_id", payload: str = "html") ->
     return keyed.join(firsts, ["_digest", "_size"], "inner").drop("_digest", "_size")
 
 
-def write(pages: DataFrame, path: str, size: int = CHUNK, compression: str = "none", key: str = "page_id", url: str = "url", payload: str = "html") -> None:
+def write(pages: DataFrame, path: str, size: int = CHUNK, compression: str = "gzip", key: str = "page_id", url: str = "url", payload: str = "html") -> None:
     """Write archives. A null payload is empty. Rows repeated with one id hold their payload each; a row without an id
     holds its payload unless a row with an id has the same one."""
 
