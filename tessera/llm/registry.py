@@ -44,6 +44,12 @@ def op5_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import substrings
+
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc_chunks": op3_warc_chunks,
     "op4_mpegts": op4_mpegts,
     "op5_html_line_blocks": op5_html_line_blocks,
+    "op6_repeated_substrings": op6_repeated_substrings,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_simhash": op8_simhash,
     "op10_decontaminate": op10_decontaminate,
