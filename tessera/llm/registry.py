@@ -64,6 +64,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import pii
+
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import decontaminate
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op6_repeated_substrings": op6_repeated_substrings,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_simhash": op8_simhash,
+    "op9_pii_tagger": op9_pii_tagger,
     "op10_decontaminate": op10_decontaminate,
 }
 

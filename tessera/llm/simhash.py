@@ -267,3 +267,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return own.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with the smallest id of their component, with all their columns. A document is its id: rows that repeat
+    an id stay or go together. Documents without an id stay, as none can be named in their place."""
+    groups = near_duplicates(docs, key, text)
+    kept = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
+    named = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi")
+    return named.unionByName(docs.where(F.col(key).isNull()))
