@@ -29,7 +29,7 @@ from tessera.llm import char_classes as cc
 from tessera.llm.common import map_batches, slices
 
 #: Characters handled at once by one Python worker, and distinct words that it remembers.
-CHARS, WORDS = 2_000_000, 2_000_000
+CHARS, WORDS = 500_000, 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -152,7 +152,7 @@ class Automaton:
         return out[::-1]
 
     def _arc(self, state: int, token: int) -> bool:
-        if len(self.arcs) > 1_000_000:
+        if len(self.arcs) > 300_000:
             self.arcs.clear()
         self.arcs[state << 20 | token] = found = self.has_arc(state, token)
         return found

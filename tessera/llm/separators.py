@@ -23,7 +23,7 @@ from tessera.llm.bpe_automaton import codec
 from tessera.llm.common import shared_dir, slices
 
 #: Tokens in a block; characters encoded at once.
-BLOCK, CHARS = 1 << 18, 2_000_000
+BLOCK, CHARS = 1 << 18, 500_000
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, separator: int, key: str = "doc_id", text: str = "text", width: int = 2) -> None:
