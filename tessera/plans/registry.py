@@ -2,11 +2,424 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+from tessera.functions.porter import porter_tokens
+from tessera.operators import cache, evaluation, lexical, maintenance, ranking, structure, vector
+from tessera.plans import views
+from tessera.plans.views import with_
+from tessera.session import table
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with SQL if there is any."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def six(name: str, alias: str | None = None) -> Column:
+    return F.round(F.col(name).cast("double"), 6).alias(alias or name)
+
+
+def long(*names: str) -> list[Column]:
+    return [F.col(x).cast("long").alias(x) for x in names]
+
+
+# Documents, sections, chunks
+
+
+@query(with_("md", "lines") + "SELECT doc, n::BIGINT AS n, line FROM lines")
+def markdown_lines(spark, d):
+    return structure.lines(views.markdown(spark, d)).select("doc", *long("n"), "line")
+
+
+@query(with_("md", "lines", "sections") + "SELECT doc, section_no::BIGINT AS section_no, title, level::BIGINT AS level, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line FROM sections")
+def sections(spark, d):
+    return structure.sections(views.markdown(spark, d)).select("doc", "title", *long("section_no", "level", "start_line", "end_line"))
+
+
+@query(with_("md", "lines", "chunks") + "SELECT doc, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, word_count::BIGINT AS word_count, text FROM chunks")
+def chunks(spark, d):
+    return structure.chunks(views.markdown(spark, d)).select("doc", *long("start_line", "end_line", "word_count"), "text")
+
+
+@query(with_("md", "lines", "sections", "chunks") + "SELECT c.doc, c.start_line::BIGINT AS start_line, s.section_no::BIGINT AS section_no, s.title FROM chunks c LEFT JOIN sections s ON s.doc = c.doc AND c.start_line BETWEEN s.start_line AND s.end_line")
+def chunk_sections(spark, d):
+    md = views.markdown(spark, d)
+    return structure.with_section(structure.chunks(md), structure.sections(md)).select("doc", *long("start_line", "section_no"), "title")
+
+
+@query(with_("md", "lines", "sections", "chunks") + """SELECT c.doc, c.start_line::BIGINT AS start_line, '[' || c.doc || CASE WHEN s.title <> '' THEN ' | ' || s.title ELSE '' END || ']' || chr(10) || chr(10)
+  || CASE WHEN c.start_line % 2 = 0 THEN 'context ' || c.start_line || chr(10) || chr(10) ELSE '' END || c.text AS input
+FROM chunks c LEFT JOIN sections s ON s.doc = c.doc AND c.start_line BETWEEN s.start_line AND s.end_line""")
+def embed_input(spark, d):
+    md = views.markdown(spark, d)
+    rows = structure.with_section(structure.chunks(md), structure.sections(md))
+    context = F.when(F.col("start_line") % 2 == 0, F.concat(F.lit(" context "), F.col("start_line"), F.lit("\n")))
+    return rows.select("doc", *long("start_line"), T.embedding_input(F.col("doc"), F.col("title"), context, F.col("text")).alias("input"))
+
+
+@query(with_("md", "lines", "sections", "chunks") + """SELECT c.doc, c.start_line::BIGINT AS start_line, 'Document ' || c.doc || ', section ' || coalesce(nullif(s.title, ''), '(no section)') || chr(10)
+  || coalesce(right(lag(c.text) OVER w, 500), '(start of document)') || chr(10) || left(c.text, 1000) || chr(10) || coalesce(left(lead(c.text) OVER w, 500), '(end of document)') AS prompt
+FROM chunks c LEFT JOIN sections s ON s.doc = c.doc AND c.start_line BETWEEN s.start_line AND s.end_line WINDOW w AS (PARTITION BY c.doc ORDER BY c.start_line)""")
+def context_prompts(spark, d):
+    md = views.markdown(spark, d)
+    rows = structure.with_section(structure.chunks(md), structure.sections(md))
+    return structure.context_prompts(rows, "Document {doc}, section {section}\n{prev}\n{chunk}\n{next}").select("doc", *long("start_line"), "prompt")
+
+
+@query(r"SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE length(regexp_replace(text, '[^\p{L}\p{Nl}\p{No}]', '', 'g')) / length(text) END, 6)::DOUBLE AS density FROM documents")
+def density(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(T.density(F.col("text")), 6).alias("density"))
+
+
+@query(with_("lex") + "SELECT chunk_id, is_index FROM lex")
+def index_like(spark, d):
+    return views.lex_chunks(spark, d).select("chunk_id", "is_index")
+
+
+@query("SELECT conv_id, turn, translate(left(text, 100), chr(10), ' ') AS preview FROM conversations")
+def previews(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 450 THEN text ELSE left(text, 324) || chr(10) || '...' || chr(10) || right(text, 121) END AS compact FROM documents")
+def compact_doc(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.compact_doc(F.col("text"), 450).alias("compact"))
+
+
+# Vector search
+
+
+@query(with_("vectors", "queries", "lex", "near") + "SELECT qid, chunk_id, rank::BIGINT AS rank, round(score, 6)::DOUBLE AS score FROM near WHERE rank <= 10")
+def knn_batch(spark, d):
+    return vector.top_k(views.queries(spark, d), views.vectors(spark, d), 10).select("qid", "chunk_id", *long("rank"), six("score"))
+
+
+@query(with_("vectors", "queries", "lex", "near") + "SELECT qid, chunk_id, rank::BIGINT AS rank, round(score, 6)::DOUBLE AS score FROM candidates")
+def vector_candidates(spark, d):
+    own = ranking.sizes_for(views.queries(spark, d), views.lex_chunks(spark, d), 10)
+    return vector.top_k(own, views.vectors(spark, d), F.col("n_candidates"), 1500).select("qid", "chunk_id", *long("rank"), six("score"))
+
+
+@query("""SELECT vec_id, len(embedding) = 64 AS ok, round(CASE WHEN sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) > 0 THEN
+  list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))
+  / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt((SELECT list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) FROM embeddings WHERE vec_id = 0)) + 1e-9) END, 6)::DOUBLE AS similarity FROM embeddings""")
+def cosine_scan(spark, d):
+    vecs = table(spark, d, "embeddings")
+    first = vecs.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return vecs.join(F.broadcast(first)).select("vec_id", vector.valid(F.col("embedding"), 64).alias("ok"), F.round(vector.cosine(F.col("embedding"), F.col("q"), 1e-9), 6).alias("similarity"))
+
+
+# Full text search
+
+
+@query(r"SELECT item_id, list_filter(regexp_extract_all(text, '[a-zA-Z0-9_-]+'), lambda x: length(x) >= 2) AS terms FROM benchmark")
+def fts_terms(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.terms(F.col("text")).alias("terms"))
+
+
+@query(with_("lex", "index") + 'SELECT term, chunk_id, count(*) AS tf, min("at")::BIGINT AS first_at FROM tokens GROUP BY ALL')
+def postings(spark, d):
+    return lexical.postings(views.lex_chunks(spark, d)).select("term", "chunk_id", *long("tf"), F.col("positions")[0].cast("long").alias("first_at"))
+
+
+_FOUND = with_("lex", "vectors", "queries", "index", "found")
+
+
+@query(_FOUND + "SELECT qid, chunk_id, rank::BIGINT AS rank, round(score, 6)::DOUBLE AS score FROM found")
+def bm25_and(spark, d):
+    rows = views.lex_chunks(spark, d)
+    return lexical.bm25(views.queries(spark, d), lexical.postings(rows), lexical.lengths(rows)).select("qid", "chunk_id", *long("rank"), six("score"))
+
+
+_PHRASES = with_("lex", "vectors", "queries", "index", "found").replace("FROM benchmark b JOIN", "FROM (SELECT item_id, replace(text, ' ', '-') AS text FROM benchmark) b JOIN").replace("[1:2], ' ')", "[1:1], ' ')")
+
+
+@query(_PHRASES + "SELECT qid, chunk_id, rank::BIGINT AS rank, round(score, 6)::DOUBLE AS score FROM found")
+def bm25_phrase(spark, d):
+    """Terms joined by hyphens are phrases."""
+    rows, items = views.lex_chunks(spark, d), table(spark, d, "benchmark")
+    own = items.join(table(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id"), "left_semi").select(F.col("item_id").alias("qid"), T.terms(F.translate("text", " ", "-"))[0].alias("query"))
+    return lexical.bm25(own, lexical.postings(rows), lexical.lengths(rows)).select("qid", "chunk_id", *long("rank"), six("score"))
+
+
+@query()
+def bm25_porter(spark, d):
+    rows = views.lex_chunks(spark, d)
+    return lexical.bm25(views.queries(spark, d), lexical.postings(rows, porter_tokens), lexical.lengths(rows, porter_tokens), 50, porter_tokens).select("qid", "chunk_id", *long("rank"), six("score"))
+
+
+@query(r"""WITH q AS (SELECT item_id AS qid, text AS query, list_filter(regexp_extract_all(text, '[a-zA-Z0-9_-]+'), lambda x: length(x) >= 2)[1:3] AS t FROM benchmark WHERE item_id < 5)
+SELECT qid, doc_id, round(CASE WHEN len(t) > 0 THEN CASE WHEN contains(low, lower(array_to_string(t, ' '))) THEN 0.3::DOUBLE ELSE 0 END + 0.15::DOUBLE * (len(list_filter(t, lambda x: contains(low, lower(x)))) / len(t)) ELSE 0 END, 6)::DOUBLE AS bonus
+FROM q, (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)""")
+def exact_bonus(spark, d):
+    """The bonus of five stated queries in every document."""
+    q = table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("qid"), F.array_join(F.slice(T.terms(F.col("text")), 1, 3), " ").alias("query"))
+    return table(spark, d, "documents").join(F.broadcast(q)).select("qid", "doc_id", F.round(T.exact_bonus(F.col("text"), F.col("query")), 6).alias("bonus"))
+
+
+# Fusion and hybrid search
+
+_SEARCH = ("lex", "vectors", "queries", "near", "index", "found", "fused")
+
+
+def _sides(spark, d):
+    chunks_, own = views.lex_chunks(spark, d), views.queries(spark, d)
+    sized = ranking.sizes_for(own, chunks_, 10)
+    near = vector.top_k(sized, views.vectors(spark, d), F.col("n_candidates"), 1500)
+    counts = near.groupBy("qid").agg(F.count("*").alias("n_vector"))
+    return own, chunks_, near, lexical.bm25(sized.join(counts, "qid"), lexical.postings(chunks_), lexical.lengths(chunks_), F.col("n_vector"))
+
+
+@query(with_(*_SEARCH) + """SELECT qid, chunk_id, round(score, 6)::DOUBLE AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, list, rank) AS rank FROM (
+  SELECT qid, chunk_id, sum(1.0::DOUBLE / (20 + rank)) AS score, min(list) AS list, arg_min(rank, list) AS rank FROM (
+    SELECT qid, chunk_id, rank, 0 AS list FROM candidates UNION ALL SELECT qid, chunk_id, rank, 1 FROM side) GROUP BY ALL)""")
+def rrf(spark, d):
+    _, _, near, found = _sides(spark, d)
+    return ranking.rrf([near, found]).select("qid", "chunk_id", *long("rank"), six("score"))
+
+
+@query(with_(*_SEARCH) + "SELECT qid, chunk_id, rank::BIGINT AS rank, round(rrf_score, 6)::DOUBLE AS rrf_score, round(coalesce(embed, 0), 6)::DOUBLE AS embed_score, f_rank IS NOT NULL AS fts_hit FROM fused")
+def fused(spark, d):
+    _, _, near, found = _sides(spark, d)
+    return ranking.fuse(near, found).select("qid", "chunk_id", *long("rank"), six("rrf_score"), six("embed_score"), "fts_hit")
+
+
+@query(with_(*_SEARCH, "ranked") + "SELECT qid, chunk_id, doc, final_rank::BIGINT AS rank, round(final_score, 6)::DOUBLE AS final_score, round(bonus, 6)::DOUBLE AS bonus FROM ranked")
+def fused_rank(spark, d):
+    own, chunks_, near, found = _sides(spark, d)
+    return ranking.score(ranking.fuse(near, found), own, chunks_, 10).select("qid", "chunk_id", "doc", *long("rank"), six("final_score"), six("bonus"))
+
+
+@query("""WITH base AS (SELECT user_id AS qid, event_id, event_type AS doc, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE value IS NOT NULL),
+s AS (SELECT *, value * pow(0.7::DOUBLE, row_number() OVER (PARTITION BY qid, doc ORDER BY r) - 1) AS adj FROM base)
+SELECT qid, event_id, rank, round(adj, 6)::DOUBLE AS diversity_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(adj, 12) DESC, r) AS rank FROM s) WHERE rank <= 5""")
+def diversify(spark, d):
+    base = table(spark, d, "events").where("value is not null").select(F.col("user_id").alias("qid"), "event_id", F.col("event_type").alias("doc"), F.col("value").alias("final_score"))
+    ranked = base.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("final_score"), "event_id")))
+    return ranking.diversify(ranked, 5, 0.7).select("qid", "event_id", *long("rank"), six("diversity_score"))
+
+
+_HYBRID = with_(*_SEARCH, "ranked", "spread") + """SELECT qid, chunk_id, doc, rank::BIGINT AS rank, round(final_score, 6)::DOUBLE AS final_score, round(embed_score, 6)::DOUBLE AS embed_score,
+  round(rrf_score, 6)::DOUBLE AS rrf_score, round(diversity_score, 6)::DOUBLE AS diversity_score,
+  round(CASE WHEN top - low > 0 THEN (diversity_score - low) / (top - low) ELSE 1 END, 6)::DOUBLE AS display_score, fts_hit, is_index, md5(text) AS text_md5
+FROM (SELECT s.*, first_value(diversity_score) OVER w AS top, last_value(diversity_score) OVER w AS low FROM spread s
+      WINDOW w AS (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) JOIN (SELECT chunk_id, text FROM lex) USING (chunk_id)"""
+
+
+@query(_HYBRID)
+def hybrid_search(spark, d):
+    out = ranking.hybrid_search(views.queries(spark, d), views.lex_chunks(spark, d), views.vectors(spark, d))
+    return out.select("qid", "chunk_id", "doc", *long("rank"), *(six(x) for x in ("final_score", "embed_score", "rrf_score", "diversity_score", "display_score")), "fts_hit", "is_index", F.md5("text").alias("text_md5"))
+
+
+flagship = hybrid_search
+
+
+def _overlap(q: str, texts: list[str]) -> list[tuple[int, float]]:
+    """A stand-in for a reranking model: the share of the query's words in each text."""
+    words = set(q.lower().split())
+    return [(i, len(words & set(x.lower().split())) / max(1, len(words))) for i, x in enumerate(texts)]
+
+
+@query()
+def rerank_stub(spark, d):
+    out = ranking.hybrid_search(views.queries(spark, d), views.lex_chunks(spark, d), views.vectors(spark, d), reranker=_overlap)
+    return out.select("qid", "chunk_id", *long("rank"), six("rerank_score"), six("final_score"))
+
+
+@query(with_(*_SEARCH, "results") + """SELECT qid, chunk_id, list::BIGINT AS list, rank::BIGINT AS rank, row_number() OVER (PARTITION BY qid ORDER BY list, rank) AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY list, rank) AS n FROM (
+    SELECT qid, chunk_id, 0 AS list, rank FROM fused WHERE rank <= 20 UNION ALL SELECT qid, chunk_id, 1, rank FROM found WHERE rank <= 20
+    UNION ALL SELECT qid, chunk_id, 2, rank FROM candidates WHERE rank <= 20)) WHERE n = 1""")
+def pool(spark, d):
+    _, _, near, found = _sides(spark, d)
+    top = [x.where("rank <= 20") for x in (ranking.fuse(near, found), found, near)]
+    return ranking.pool(top).select("qid", "chunk_id", *long("list", "rank", "position"))
+
+
+# Evaluation
+
+_EVAL = ("lex", "vectors", "queries", "near", "results", "qrels")
+_METRICS = with_(*_EVAL) + """, ks AS (SELECT unnest([1, 3, 5, 10]) AS k),
+hit AS (SELECT r.*, coalesce(q.score, 0) AS score, q.score IS NULL AS missing, q.subtopics FROM vres r LEFT JOIN qrels q USING (qid, chunk_id)),
+cum AS (SELECT *, sum(CASE WHEN score >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY rank) AS so_far FROM hit),
+rel AS (SELECT qid, count(*) FILTER (score >= 2) AS n FROM qrels GROUP BY qid),
+idl AS (SELECT qid, k, sum((pow(2, score) - 1) / log2(i + 1)) AS ideal FROM (SELECT qid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS i FROM qrels), ks WHERE i <= k GROUP BY ALL),
+agg AS (SELECT qid, k, min(rank) FILTER (score >= 2) AS first, count(*) FILTER (score >= 2) AS hits, sum(CASE WHEN score >= 2 THEN so_far / rank ELSE 0 END) AS ap,
+  sum((pow(2, score) - 1) / log2(rank + 1)) AS dcg, count(*) FILTER (missing) AS missing FROM cum, ks WHERE rank <= k GROUP BY ALL),
+topics AS (SELECT qid, chunk_id, rank, score, unnest(CASE WHEN score >= 2 AND len(subtopics) > 0 THEN subtopics ELSE [NULL] END) AS st FROM hit),
+gains AS (SELECT qid, rank, st, score * CASE WHEN st IS NULL THEN 1 ELSE pow(0.5::DOUBLE, row_number() OVER (PARTITION BY qid, st ORDER BY rank) - 1) END / log2(rank + 1) AS gain FROM topics),
+dgain AS (SELECT qid, k, sum(gain) AS gain, count(DISTINCT st) AS covered FROM gains, ks WHERE rank <= k GROUP BY ALL),
+dcov AS (SELECT qid, k, count(DISTINCT doc) AS docs FROM hit, ks WHERE rank <= k GROUP BY ALL),
+alls AS (SELECT qid, count(DISTINCT st) AS n FROM (SELECT qid, unnest(subtopics) AS st FROM qrels WHERE score >= 2) GROUP BY qid),
+wide AS (SELECT q.qid, q.category, ks.k, coalesce(1.0 / first, 0) AS mrr, coalesce(hits, 0) / ks.k AS precision, CASE WHEN rel.n > 0 THEN coalesce(hits, 0) / rel.n ELSE 0 END AS recall,
+  CASE WHEN hits > 0 THEN 1 ELSE 0 END AS hit_rate, CASE WHEN least(rel.n, ks.k) > 0 THEN coalesce(ap, 0) / least(rel.n, ks.k) ELSE 0 END AS map, coalesce(dcg, 0) AS dcg,
+  CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 0 END AS ndcg, coalesce(missing, 0) AS unjudged,
+  coalesce(docs, 0) / ks.k AS doc_coverage, CASE WHEN alls.n > 0 THEN coalesce(covered, 0) / alls.n ELSE 0 END AS subtopic_recall, CASE WHEN ideal > 0 THEN coalesce(gain, 0) / ideal ELSE 0 END AS alpha_ndcg
+  FROM queries q CROSS JOIN ks LEFT JOIN agg ON agg.qid = q.qid AND agg.k = ks.k LEFT JOIN rel ON rel.qid = q.qid LEFT JOIN idl ON idl.qid = q.qid AND idl.k = ks.k
+  LEFT JOIN dgain ON dgain.qid = q.qid AND dgain.k = ks.k LEFT JOIN dcov ON dcov.qid = q.qid AND dcov.k = ks.k LEFT JOIN alls ON alls.qid = q.qid),
+tall AS (SELECT qid, category, k, unnest(['mrr', 'precision', 'recall', 'hit_rate', 'map', 'dcg', 'ndcg', 'unjudged', 'doc_coverage', 'subtopic_recall', 'alpha_ndcg']) AS metric,
+  unnest([mrr, precision, recall, hit_rate, map, dcg, ndcg, unjudged, doc_coverage, subtopic_recall, alpha_ndcg]::DOUBLE[]) AS value FROM wide)
+"""
+
+
+def _values(spark, d):
+    own = views.queries(spark, d)
+    judged = views.qrels(spark, d)
+    results = ranking.hydrate(vector.top_k(own, views.vectors(spark, d), 10), views.vectors(spark, d).withColumn("text", F.lit("")))
+    return own, judged, evaluation.metrics(own, results, judged).unionByName(evaluation.diversity_metrics(own, results, judged))
+
+
+def _metric_query(metric: str) -> None:
+    def f(spark, d):
+        return _values(spark, d)[2].where(F.col("metric") == metric).select("qid", *long("k"), six("value"))
+
+    f.__name__ = f"metric_{metric}"
+    query(_METRICS + f"SELECT qid, k::BIGINT AS k, round(value, 6)::DOUBLE AS value FROM tall WHERE metric = '{metric}'")(f)
+
+
+for _name in ("mrr", "precision", "recall", "hit_rate", "map", "dcg", "ndcg", "unjudged", "doc_coverage", "subtopic_recall", "alpha_ndcg"):
+    _metric_query(_name)
+
+
+@query(_METRICS + "SELECT metric, k::BIGINT AS k, round(avg(value), 6)::DOUBLE AS value FROM tall WHERE category <> 'negative' GROUP BY ALL")
+def metrics_overall(spark, d):
+    own, _, values = _values(spark, d)
+    return evaluation.overall(values, own).select("metric", *long("k"), six("value"))
+
+
+@query(_METRICS + "SELECT category, metric, k::BIGINT AS k, round(avg(value), 6)::DOUBLE AS value, count(*) AS n FROM tall GROUP BY ALL")
+def metrics_by_category(spark, d):
+    own, _, values = _values(spark, d)
+    return evaluation.by_category(values, own).select("category", "metric", *long("k", "n"), six("value"))
+
+
+@query(_METRICS + "SELECT k::BIGINT AS k, round(avg(value), 6)::DOUBLE AS value FROM tall WHERE metric = 'precision' AND category = 'negative' GROUP BY ALL")
+def negative_fp_rate(spark, d):
+    own, _, values = _values(spark, d)
+    return evaluation.false_positives(values, own).select(*long("k"), six("value"))
+
+
+@query(with_(*_EVAL) + "SELECT s.score::BIGINT AS score, count(q.qid) AS n, round(count(q.qid) * 100.0 / (SELECT count(*) FROM qrels), 6)::DOUBLE AS pct FROM (SELECT unnest(range(4)) AS score) s LEFT JOIN qrels q USING (score) GROUP BY s.score")
+def score_histogram(spark, d):
+    return evaluation.histogram(views.qrels(spark, d)).select(*long("score", "n"), six("pct"))
+
+
+@query(with_(*_EVAL) + "SELECT qid, list_sort(list_distinct(flatten(list(subtopics)))) AS subtopics FROM qrels WHERE score >= 2 GROUP BY qid HAVING len(flatten(list(subtopics))) > 0")
+def subtopic_union(spark, d):
+    return evaluation.subtopics_of(views.qrels(spark, d))
+
+
+@query(with_(*_EVAL) + "SELECT qid, chunk_id, rank::BIGINT AS rank FROM vres r WHERE NOT EXISTS (SELECT 1 FROM qrels q WHERE q.qid = r.qid AND q.chunk_id = r.chunk_id)")
+def unjudged(spark, d):
+    near = vector.top_k(views.queries(spark, d), views.vectors(spark, d), 10)
+    return evaluation.unjudged(near, views.qrels(spark, d)).select("qid", "chunk_id", *long("rank"))
+
+
+@query(with_("vectors", "queries") + "SELECT qid, CASE WHEN qid % 4 = 0 THEN query || '!' ELSE query END AS query, category FROM queries WHERE qid % 4 = 0")
+def stale_judgments(spark, d):
+    own = views.queries(spark, d)
+    stored = own.select("qid", F.when(F.col("qid") % 4 == 0, F.concat("query", F.lit("!"))).otherwise(F.col("query")).alias("query"), "category")
+    return evaluation.stale(stored, own)
+
+
+@query("SELECT round(median(value), 6)::DOUBLE AS p50, round(list_sort(list(value))[CASE WHEN count(value) >= 20 THEN floor(count(value) * 0.95)::BIGINT + 1 ELSE count(value) END], 6)::DOUBLE AS p95 FROM events WHERE user_id = 1 AND value IS NOT NULL")
+def latency_percentiles(spark, d):
+    return evaluation.latency(table(spark, d, "events").where("user_id = 1 and value is not null"), "value").select(six("p50"), six("p95"))
+
+
+# Maintenance
+
+_MERGE = with_("md", "lines", "sections", "chunks", "old") + """, planned AS (SELECT c.*, s.section_no, false AS is_index FROM chunks c LEFT JOIN sections s ON s.doc = c.doc AND c.start_line BETWEEN s.start_line AND s.end_line),
+plan AS (SELECT coalesce(o.doc, p.doc) AS doc, coalesce(o.start_line, p.start_line) AS start_line, CASE WHEN o.doc IS NULL THEN 'insert' WHEN p.doc IS NULL THEN 'delete'
+  WHEN (o.end_line, o.word_count, o.text) IS DISTINCT FROM (p.end_line, p.word_count, p.text) THEN 'update' WHEN o.section_no IS DISTINCT FROM p.section_no THEN 'move' ELSE 'keep' END AS action
+  FROM oldchunks o FULL JOIN planned p ON o.doc = p.doc AND o.start_line = p.start_line)
+"""
+
+
+def _sides_of_merge(spark, d):
+    md = views.markdown(spark, d)
+    planned = structure.with_section(structure.chunks(md), structure.sections(md)).withColumn("is_index", F.lit(False))
+    line = F.col("start_line")
+    old = planned.where(line % 11 != 0).withColumn("text", F.when(line % 7 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text"))).withColumn("section_no", F.when(line % 5 != 0, F.col("section_no")))
+    gone = planned.select("doc").distinct().select("doc", F.lit(None).cast("int").alias("section_no"), F.lit(999999).alias("start_line"), F.lit(999999).alias("end_line"), F.lit(0).alias("word_count"), F.lit("gone").alias("text"), F.lit(False).alias("is_index"))
+    return old.select(gone.columns).unionByName(gone), planned
+
+
+@query(_MERGE + "SELECT doc, start_line::BIGINT AS start_line, action FROM plan")
+def merge_plan(spark, d):
+    old, planned = _sides_of_merge(spark, d)
+    return maintenance.merge_plan(old, planned, ["end_line", "word_count", "text", "is_index"]).select("doc", *long("start_line"), "action")
+
+
+@query(_MERGE + "SELECT p.doc, p.start_line::BIGINT AS start_line, p.section_no::BIGINT AS section_no, l.action IN ('keep', 'move') AS kept_embedding, l.action = 'insert' AS is_new, md5(p.text) AS text_md5 FROM planned p JOIN plan l USING (doc, start_line)")
+def merged_chunks(spark, d):
+    old, planned = _sides_of_merge(spark, d)
+    known = old.withColumn("chunk_id", F.xxhash64("doc", "start_line")).withColumn("embedding", F.array(F.lit(1.0)))
+    out = maintenance.merge_chunks(known, planned)
+    return out.select("doc", *long("start_line", "section_no"), F.col("embedding").isNotNull().alias("kept_embedding"), F.col("chunk_id").isNull().alias("is_new"), F.md5("text").alias("text_md5"))
+
+
+@query(_MERGE.replace("plan AS (", "unusedplan AS (") + """SELECT p.doc, count(*) AS chunks, sum(length(p.text))::BIGINT AS text_size, count(*) FILTER (p.start_line % 3 = 0) AS embedded, count(*) FILTER (p.start_line % 2 = 0) AS contextualized,
+  count(*) >= count(*) - 1 AS complete, CASE WHEN count(*) FILTER (p.start_line % 3 = 0) >= count(*) - 1 THEN 'ready'
+  WHEN count(*) FILTER (p.start_line % 2 = 0) < count(*) - 1 THEN 'context ' || CASE WHEN least(99, round_even(count(*) FILTER (p.start_line % 2 = 0) / (count(*) - 1) * 100, 0)) < 0 THEN 0 ELSE least(99, round_even(count(*) FILTER (p.start_line % 2 = 0) / (count(*) - 1) * 100, 0))::INT END || '%' ELSE 'embed' END AS label
+FROM planned p GROUP BY p.doc HAVING count(*) > 1""")
+def doc_status(spark, d):
+    md = views.markdown(spark, d)
+    rows = structure.chunks(md).withColumn("chunk_id", F.xxhash64("doc", "start_line")).withColumn("embedding", F.when(F.col("start_line") % 3 == 0, F.array(F.lit(1.0))))
+    counted = rows.groupBy("doc").agg((F.count("*") - 1).alias("expected_chunks"))
+    return maintenance.status(counted, rows, rows.where("start_line % 2 = 0").select("chunk_id")).where("chunks > 1").select("doc", "chunks", "text_size", "embedded", "contextualized", "complete", "label")
+
+
+@query("SELECT source, left(sha256(source || chr(10) || lang || chr(10) || 'chunk-text.v1'), 16) AS signature FROM documents GROUP BY source, lang")
+def signatures(spark, d):
+    return table(spark, d, "documents").select("source", "lang").distinct().select("source", maintenance.signature(F.col("source"), F.col("lang"), F.lit("chunk-text.v1")).alias("signature"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def upsert_latest(spark, d):
+    rows = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    return maintenance.latest(rows, ["user_id", "event_type"], "at").select("user_id", "event_type", "event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending(spark, d):
+    return maintenance.pending(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").select("doc_id")
+
+
+_CACHE = """WITH c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, vec_id * 10 AS created_at, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS model, 50 + vec_id % 3 * 50 AS n FROM embeddings WHERE vec_id < 200),
+q AS (SELECT vec_id AS qid, list_transform(embedding::DOUBLE[], lambda x: x + 0.01::DOUBLE) AS e FROM embeddings WHERE vec_id < 100),
+s AS (SELECT qid, id, list_inner_product(q.e, c.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(c.e, c.e)) + 1e-9) AS sim FROM q, c WHERE model = 'a' AND created_at > 400 AND n >= 100)
+"""
+
+
+@query(_CACHE + "SELECT qid, id, round(sim, 6)::DOUBLE AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS r FROM s) WHERE r = 1 AND sim >= 0.92")
+def cache_lookup(spark, d):
+    """A hundred stated queries against a cache of two hundred entries, which is the feature's bound."""
+    vecs = table(spark, d, "embeddings")
+    doubles = F.transform("embedding", lambda x: x.cast("double"))
+    entries = vecs.where("vec_id < 200").select(F.col("vec_id").alias("id"), doubles.alias("embedding"), F.array().cast("array<struct<chunk_id:long,score:double>>").alias("vector_results"), (F.col("vec_id") * 10.0).alias("created_at"), F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("model"), (F.lit(50) + F.col("vec_id") % 3 * 50).cast("int").alias("candidate_count"))
+    own = vecs.where("vec_id < 100").select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double") + 0.01).alias("q_emb"), F.lit(100).alias("min_candidates"))
+    return cache.probe(own, entries, 1000.0, "a", ttl=600.0).select("qid", "id", six("similarity"))
+
+
+@query("SELECT vec_id AS id FROM embeddings ORDER BY vec_id DESC LIMIT 50")
+def cache_evict(spark, d):
+    vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("created_at"))
+    return cache.put(vecs.limit(0), vecs, 50).select("id")
