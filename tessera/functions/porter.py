@@ -49,11 +49,11 @@ def stem(word: str) -> str:
     """Stem of a folded word. Words of under three bytes or over 64 stay as they are."""
     if not 3 <= len(word.encode()) <= 64:
         return word
-    if word.endswith("sses") or word.endswith("ies"):
+    if len(word) > 3 and word.endswith(("sses", "ies")):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
-    if word.endswith("eed"):
+    if len(word) > 3 and word.endswith("eed"):
         word = word[:-1] if _measure(word[:-3]) > 0 else word
     else:
         end = "ed" if word.endswith("ed") else "ing" if word.endswith("ing") else ""

@@ -85,7 +85,5 @@ def progress(done: Column, total: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    out = F.concat(size.cast("string"), F.lit(" B"))
-    for unit, value in (("KB", 1 << 10), ("MB", 1 << 20), ("GB", 1 << 30)):
-        out = F.when(size >= value, F.concat(F.format_number(size / value, "0.0"), F.lit(f" {unit}"))).otherwise(out)
-    return out
+    of = lambda unit: F.format_number(size / unit, "0.0")
+    return F.when(size == 0, "-").when(size >= 1 << 20, F.concat(of(1 << 20), F.lit(" MB"))).when(size >= 1 << 10, F.concat(of(1 << 10), F.lit(" KB"))).otherwise(F.concat(size.cast("string"), F.lit(" B")))

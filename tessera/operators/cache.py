@@ -24,7 +24,7 @@ def probe(queries: DataFrame, cache: DataFrame, now: float, model: str, threshol
 def touch(cache: DataFrame, hits: DataFrame, now: float) -> DataFrame:
     """The cache with the entries hit made new."""
     used = hits.select("id").distinct().withColumn("_hit", F.lit(True))
-    return cache.join(used, "id", "left").withColumn("created_at", F.when("_hit", F.lit(float(now))).otherwise(F.col("created_at"))).drop("_hit")
+    return cache.join(used, "id", "left").withColumn("created_at", F.when(F.col("_hit"), F.lit(float(now))).otherwise(F.col("created_at"))).drop("_hit")
 
 
 def put(cache: DataFrame, entries: DataFrame, size: int = params.CACHE_SIZE) -> DataFrame:

@@ -45,10 +45,10 @@ def extract(spark: SparkSession, paths: str, make: Callable[[], Callable[[bytes,
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc, md) of the Markdown files of a folder."""
-    rows = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(folder)
-    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.md$", "")
-    return rows.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("doc"), F.col("value").alias("md"))
+    """(doc, md) of the UTF-8 Markdown files of a folder, to the last line feed."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
+    return rows.select(name.alias("doc"), F.decode("content", "UTF-8").alias("md"))
 
 
 def write_markdown(docs: DataFrame, folder: str) -> None:
