@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -54,6 +55,18 @@ def map_batches(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of Arrow batches while an action runs: fewer where rows are long, to bound what a worker holds at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Strings of a column; null counts as empty."""
     return [x or "" for x in column.to_pylist()]

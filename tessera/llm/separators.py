@@ -7,7 +7,8 @@ exclusive prefix scan over the blocks of a file, of the sum of the ends and of t
 of its first document and the tokens that earlier blocks hold of it.
 
 Files are written by Spark's text writer, with the separator's bytes as the line separator. A second flat file from the same
-task holds the documents' ids in the same order, as decimal digits, so that numbers can be turned into ids again.
+task holds the documents' ids in the same order, as decimal digits, so that numbers can be turned into ids again. Both are
+begun anew after the same number of documents, which bounds what a reader holds, and have the same name.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe_automaton import codec
-from tessera.llm.common import shared_dir, slices
+from tessera.llm.common import batch_rows, shared_dir, slices
 
-#: Tokens in a block; characters encoded at once.
-BLOCK, CHARS = 1 << 18, 500_000
+#: Tokens in a block; characters encoded at once; documents in a file.
+BLOCK, CHARS, FILE = 1 << 18, 500_000, 4000
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, separator: int, key: str = "doc_id", text: str = "text", width: int = 2) -> None:
@@ -45,7 +46,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, separator: int, key: str =
 
     rows = docs.selectExpr(f"cast(`{key}` as long) id", f"`{text}` t").mapInArrow(run, "stream string, number long, value binary")
     flat = rows.sortWithinPartitions("stream", "number").select("stream", F.col("value").cast("string"))
-    flat.write.partitionBy("stream").option("encoding", "ISO-8859-1").option("lineSep", ends.decode("latin-1")).text(path)
+    with batch_rows(docs.sparkSession, 1000):
+        flat.write.partitionBy("stream").option("maxRecordsPerFile", FILE).option("encoding", "ISO-8859-1").option("lineSep", ends.decode("latin-1")).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
