@@ -28,7 +28,7 @@ ORDER, Z, WINDOW = 4, 6.0, 64
 #: Bounds of the fit: labelled documents of each language, their longest text, languages.
 SAMPLE, LONGEST, LANGUAGES = 200, 20_000, 500
 #: Characters scored at once, n-grams remembered by a worker, and the sharpness of the score.
-CHARS, MEMORY, SHARPNESS = 1_000_000, 1_000_000, 10.0
+CHARS, MEMORY, SHARPNESS = 300_000, 300_000, 10.0
 EDGE = 1
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 

@@ -242,7 +242,7 @@ def reconciled(found: list[tuple[float, str, int, int]]) -> list[Span]:
     return [spans[k] for k in best[-1][1]]
 
 
-def added_spans(texts: list[str], bases: list[list[Span]], tagger: Tagger, most: int = 4096) -> list[list[Span]]:
+def added_spans(texts: list[str], bases: list[list[Span]], tagger: Tagger, most: int = 512) -> list[list[Span]]:
     """What the tagger adds to the spans of the patterns."""
     places = [(k, at) for k, text in enumerate(texts) for at in windows_of(text)]
     values = {k: symbols_of(texts[k]) for k in dict.fromkeys(k for k, _ in places)}

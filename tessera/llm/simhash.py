@@ -28,7 +28,7 @@ from tessera.llm.components import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints in a chunk of a hot key; characters handled at once.
-CHUNK, CHARS = 4096, 2_000_000
+CHUNK, CHARS = 4096, 500_000
 _SIZES = (11, 11, 11, 11, 10, 10)
 
 

@@ -229,13 +229,14 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     """(id, t, start, end): stretches of repeated windows of the rows of _keyed(), and the tables behind them."""
     spark = docs.sparkSession
     keyed = _keyed(docs, key, text)
-    places = {x: shared_dir(spark, f"substrings-{x}") for x in ("anchors", "again", "kinds", "hot", "around", "spans")}
+    places = {x: shared_dir(spark, f"substrings-{x}") for x in ("anchors", "grams", "again", "kinds", "several", "hot", "around", "spans")}
     _anchors(keyed).write.parquet(places["anchors"])
     anchors = spark.read.parquet(places["anchors"])
-    grams = anchors.groupBy("gram").count().where("count > 1").select("gram")
-    anchors.join(grams, "gram", "left_semi").write.parquet(places["again"])
-    del anchors, grams
-    release(spark, places["anchors"])
+    # a written side has its own exchange, so that the join can split a gram of many rows; an aggregate has not
+    anchors.groupBy("gram").count().where("count > 1").select("gram").write.parquet(places["grams"])
+    anchors.join(spark.read.parquet(places["grams"]), "gram", "left_semi").write.parquet(places["again"])
+    del anchors
+    release(spark, places["anchors"], places["grams"])
     again = spark.read.parquet(places["again"])
     again.groupBy("gram", "around").agg(F.count("*").alias("count"), F.min(F.struct("id", "t", "place", "right")).alias("one")).write.parquet(places["kinds"])
     kinds = spark.read.parquet(places["kinds"])
@@ -244,7 +245,8 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     whole = again.join(kinds.where("count > 1").select("gram", "around"), ["gram", "around"], "left_semi").where(left + F.col("right") >= WIDTH)
     whole = whole.select("id", "t", (F.col("place") - left).cast("int").alias("start"), (F.col("place") + F.col("right")).cast("int").alias("end"))
     # others, in groups of one gram
-    several = kinds.groupBy("gram").count().where("count > 1")
+    kinds.groupBy("gram").count().where("count > 1").write.parquet(places["several"])
+    several = spark.read.parquet(places["several"])
     several.where(F.col("count") > most).select("gram").write.parquet(places["hot"])
     hot = spark.read.parquet(places["hot"])
     wanted = kinds.join(several.select("gram"), "gram", "left_semi").select("gram", "one.*", F.least("count", F.lit(2)).cast("int").alias("n"))
@@ -260,7 +262,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     found = around.repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, "id long, t int, start int, end int").unionByName(whole)
     (found.unionByName(counted) if counted is not None else found).write.parquet(places["spans"])
     del around, found, whole, counted, again, kinds
-    release(spark, places["again"], places["kinds"], places["around"])
+    release(spark, places["again"], places["kinds"], places["around"], places["several"])
     return spark.read.parquet(places["spans"]), [places["spans"], places["hot"]]
 
 
