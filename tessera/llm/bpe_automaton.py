@@ -20,6 +20,7 @@ import functools
 import hashlib
 import json
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from tessera.llm import char_classes as cc
 from tessera.llm.common import map_batches, slices
 
 #: Characters handled at once by one Python worker, and distinct words that it remembers.
-CHARS, WORDS = 500_000, 1_000_000
+CHARS, WORDS = 500_000, 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -367,14 +368,15 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
     def make():
         own = codec(path)
 
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = own.encode_checked([x or "" for x in batch.column(1).to_pylist()])
-            ids = [x for x, _ in found]
-            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-            decoded = pa.array([x.decode("utf-8", "replace") for _, x in found], pa.string())
-            return pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], ["id", "ids", "decoded"])
+        def apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for a, b in slices([len(x) for x in texts], 4 * CHARS):
+                found = own.encode_checked(texts[a:b])
+                ids = [x for x, _ in found]
+                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+                decoded = pa.array([x.decode("utf-8", "replace") for _, x in found], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists, decoded], ["id", "ids", "decoded"])
 
         return apply
 

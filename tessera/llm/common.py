@@ -39,8 +39,9 @@ def release(spark: SparkSession, *paths: str) -> None:
     spark._jvm.System.gc()
 
 
-def map_batches(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]) -> DataFrame:
-    """Apply a function of one Arrow batch to every batch. make() runs once a task and loads what the function needs."""
+def map_batches(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None]]) -> DataFrame:
+    """Apply a function of one Arrow batch, which may give several, to every batch. make() runs once a task and loads what
+    the function needs. A task that ends gives the memory of its batches back, as its worker lives on."""
     schema = ddl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,8 +50,13 @@ def map_batches(df: DataFrame, ddl: str, make: Callable[[], Callable[[pa.RecordB
             if batch.num_rows == 0:
                 continue
             apply = apply or make()
-            if (out := apply(batch)) is not None:
+            out = apply(batch)
+            if isinstance(out, pa.RecordBatch):
                 yield out
+            elif out is not None:
+                yield from out
+        del apply
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
