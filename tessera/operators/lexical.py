@@ -12,14 +12,26 @@ from tessera.functions import text as T
 from tessera.functions.porter import plain_tokens
 
 Tokenize = Callable[[Column], Column]
+#: Distinct tokens of queries that are sent to the tasks: some megabytes.
+WORDS = 100_000
 
 
-def postings(chunks: DataFrame, tokenize: Tokenize = plain_tokens, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(term, chunk_id, tf, positions). The rows of a term are summed in the tasks that made them first."""
+def postings(chunks: DataFrame, tokenize: Tokenize = plain_tokens, key: str = "chunk_id", text: str = "text", words: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf, positions). The rows of a term are summed in the tasks that made them first. words: a table as
+    words_of() gives it; other terms are left out before anything is summed or shuffled."""
     rows = chunks.select(F.col(key).alias("chunk_id"), F.posexplode(tokenize(F.col(text))).alias("at", "term"))
+    if words is not None:
+        rows = rows.join(F.broadcast(words), "term", "left_semi")
     return rows.groupBy("term", "chunk_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
 
 
+def words_of(queries: DataFrame, tokenize: Tokenize = plain_tokens, qid: str = "qid", query: str = "query", most: int = WORDS) -> DataFrame | None:
+    """(term) of all tokens that a batch of queries seeks, or None if there are more than `most`, which are counted first:
+    beyond that the whole index is made."""
+    found = phrases(queries, tokenize, qid, query).select(F.explode("tokens").alias("term")).distinct()
+    return found if found.limit(most + 1).count() <= most else None
+
+
 def lengths(chunks: DataFrame, tokenize: Tokenize = plain_tokens, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """(chunk_id, dl) with the number of tokens of every chunk, null text as empty."""
     return chunks.select(F.col(key).alias("chunk_id"), F.size(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("dl"))

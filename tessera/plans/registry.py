@@ -144,7 +144,8 @@ _FOUND = with_("lex", "vectors", "queries", "index", "found")
 @query(_FOUND + "SELECT qid, chunk_id, rank::BIGINT AS rank, round(score, 6)::DOUBLE AS score FROM found")
 def bm25_and(spark, d):
     rows = views.lex_chunks(spark, d)
-    return lexical.bm25(views.queries(spark, d), lexical.postings(rows), lexical.lengths(rows)).select("qid", "chunk_id", *long("rank"), six("score"))
+    own = views.queries(spark, d)
+    return lexical.bm25(own, lexical.postings(rows, words=lexical.words_of(own)), lexical.lengths(rows)).select("qid", "chunk_id", *long("rank"), six("score"))
 
 
 _PHRASES = with_("lex", "vectors", "queries", "index", "found").replace("FROM benchmark b JOIN", "FROM (SELECT item_id, replace(text, ' ', '-') AS text FROM benchmark) b JOIN").replace("[1:2], ' ')", "[1:1], ' ')")
@@ -155,13 +156,14 @@ def bm25_phrase(spark, d):
     """Terms joined by hyphens are phrases."""
     rows, items = views.lex_chunks(spark, d), table(spark, d, "benchmark")
     own = items.join(table(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id"), "left_semi").select(F.col("item_id").alias("qid"), T.terms(F.translate("text", " ", "-"))[0].alias("query"))
-    return lexical.bm25(own, lexical.postings(rows), lexical.lengths(rows)).select("qid", "chunk_id", *long("rank"), six("score"))
+    return lexical.bm25(own, lexical.postings(rows, words=lexical.words_of(own)), lexical.lengths(rows)).select("qid", "chunk_id", *long("rank"), six("score"))
 
 
 @query()
 def bm25_porter(spark, d):
     rows = views.lex_chunks(spark, d)
-    return lexical.bm25(views.queries(spark, d), lexical.postings(rows, porter_tokens), lexical.lengths(rows, porter_tokens), 50, porter_tokens).select("qid", "chunk_id", *long("rank"), six("score"))
+    own = views.queries(spark, d)
+    return lexical.bm25(own, lexical.postings(rows, porter_tokens, words=lexical.words_of(own, porter_tokens)), lexical.lengths(rows, porter_tokens), 50, porter_tokens).select("qid", "chunk_id", *long("rank"), six("score"))
 
 
 @query(r"""WITH q AS (SELECT item_id AS qid, text AS query, list_filter(regexp_extract_all(text, '[a-zA-Z0-9_-]+'), lambda x: length(x) >= 2)[1:3] AS t FROM benchmark WHERE item_id < 5)
@@ -183,7 +185,7 @@ def _sides(spark, d):
     sized = ranking.sizes_for(own, chunks_, 10)
     near = vector.top_k(sized, views.vectors(spark, d), F.col("n_candidates"), 1500)
     counts = near.groupBy("qid").agg(F.count("*").alias("n_vector"))
-    return own, chunks_, near, lexical.bm25(sized.join(counts, "qid"), lexical.postings(chunks_), lexical.lengths(chunks_), F.col("n_vector"))
+    return own, chunks_, near, lexical.bm25(sized.join(counts, "qid"), lexical.postings(chunks_, words=lexical.words_of(own)), lexical.lengths(chunks_), F.col("n_vector"))
 
 
 @query(with_(*_SEARCH) + """SELECT qid, chunk_id, round(score, 6)::DOUBLE AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, list, rank) AS rank FROM (
