@@ -86,6 +86,24 @@ def test_windows_cover_triggers():
             assert any(a <= m.start() < a + P.LENGTH for a in starts)
 
 
+def test_at_with_plain_dots(tagger):
+    """Addresses with the word at and plain dots have no digit, at sign or word dot."""
+    for text, address in [("write to jane at mail.example.com now", "jane at mail.example.com"), ("jane.doe[at]example.com", "jane.doe[at]example.com"), ("please ask kamal.enho (at) torest.org, or", "kamal.enho (at) torest.org")]:
+        at = text.index(address)
+        for before in ("", "nothing here " * 30):
+            assert P.windows_of(before + text)
+        assert P.added_spans([text], [[]], tagger) == [[("email", at, at + len(address))]]
+    assert not P.valid("email", "he was at home. Then") and P.valid("email", "jane (at) example.com") and P.valid("email", "jane at example.com")
+
+
+def test_windows_left_out_hold_nothing(tagger, monkeypatch):
+    texts = ["nothing at all here, " * 7 + ("word " * k) + x for k in range(6) for x, _ in P.examples(8, seed=k)]
+    texts.append("an address that starts far before the word: " + "b" * 50 + " at example dot com")
+    own = P.added_spans(texts, [[] for _ in texts], tagger)
+    monkeypatch.setattr(P, "windows_of", lambda text: list(range(0, max(1, len(text) - P.STRIDE), P.STRIDE)))
+    assert own == P.added_spans(texts, [[] for _ in texts], tagger)
+
+
 def test_reconcile():
     assert P.reconciled([(3.0, "ip", 0, 5), (2.0, "card", 4, 9), (2.0, "card", 5, 9), (1.0, "ip", 0, 5)]) == [("ip", 0, 5), ("card", 5, 9)]
     assert P.reconciled([]) == []
