@@ -175,6 +175,13 @@ def exact_bonus(spark, d):
     return table(spark, d, "documents").join(F.broadcast(q)).select("qid", "doc_id", F.round(T.exact_bonus(F.col("text"), F.col("query")), 6).alias("bonus"))
 
 
+@query()
+def exact_bonus_all(spark, d):
+    """The bonus of every item of the benchmark, with its whole text, in every document."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return table(spark, d, "documents").join(F.broadcast(q)).select("qid", "doc_id", F.round(T.exact_bonus(F.col("text"), F.col("query")), 6).alias("bonus"))
+
+
 # Fusion and hybrid search
 
 _SEARCH = ("lex", "vectors", "queries", "near", "index", "found", "fused")
@@ -346,6 +353,11 @@ def latency_percentiles(spark, d):
     return evaluation.latency(table(spark, d, "events").where("user_id = 1 and value is not null"), "value").select(six("p50"), six("p95"))
 
 
+@query("SELECT user_id, round(median(value), 6)::DOUBLE AS p50, round(list_sort(list(value))[CASE WHEN count(value) >= 20 THEN floor(count(value) * 0.95)::BIGINT + 1 ELSE count(value) END], 6)::DOUBLE AS p95 FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def latency_by_user(spark, d):
+    return evaluation.latency(table(spark, d, "events"), "value", ("user_id",)).select("user_id", six("p50"), six("p95"))
+
+
 # Maintenance
 
 _MERGE = with_("md", "lines", "sections", "chunks", "old") + """, planned AS (SELECT c.*, s.section_no, false AS is_index FROM chunks c LEFT JOIN sections s ON s.doc = c.doc AND c.start_line BETWEEN s.start_line AND s.end_line),
@@ -421,6 +433,18 @@ def cache_lookup(spark, d):
     return cache.probe(own, entries, 1000.0, "a", ttl=600.0).select("qid", "id", six("similarity"))
 
 
+@query("""WITH c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, vec_id * 10 % 7200 AS created_at, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS model, 50 + vec_id % 3 * 50 AS n FROM embeddings ORDER BY created_at DESC, id DESC LIMIT 500),
+q AS (SELECT vec_id AS qid, list_transform(embedding::DOUBLE[], lambda x: x + 0.01::DOUBLE) AS e FROM embeddings),
+s AS (SELECT qid, id, list_inner_product(q.e, c.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(c.e, c.e)) + 1e-9) AS sim FROM q, c WHERE model = 'a' AND created_at > 3600 AND n >= 100)
+SELECT qid, id, round(sim, 6)::DOUBLE AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS r FROM s) WHERE r = 1 AND sim >= 0.92""")
+def cache_lookup_all(spark, d):
+    """Every vector as a query against a cache filled to its bound with the newest."""
+    vecs = table(spark, d, "embeddings")
+    made = vecs.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.array().cast("array<struct<chunk_id:long,score:double>>").alias("vector_results"), (F.col("vec_id") * 10.0 % 7200).alias("created_at"), F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("model"), (F.lit(50) + F.col("vec_id") % 3 * 50).cast("int").alias("candidate_count"))
+    own = vecs.select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double") + 0.01).alias("q_emb"), F.lit(100).alias("min_candidates"))
+    return cache.probe(own, cache.put(made.limit(0), made), 7200.0, "a").select("qid", "id", six("similarity"))
+
+
 @query("SELECT vec_id AS id FROM embeddings ORDER BY vec_id DESC LIMIT 50")
 def cache_evict(spark, d):
     vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("created_at"))

@@ -58,6 +58,27 @@ def test_latency(spark):
     assert tuple(E.latency(many).first()) == (49.5, 95.0)
 
 
+def test_latency_by_key(spark):
+    rows = [(k, float(x)) for k in (1, 2) for x in range(100 * k)] + [(3, 7.0), (3, 7.0), (3, 1.0), (3, None), (4, None)]
+    frame = spark.createDataFrame(rows, "user_id int, ms double")
+    assert sorted(map(tuple, E.latency(frame, by=("user_id",)).collect())) == [(1, 49.5, 95.0), (2, 99.5, 190.0), (3, 7.0, 7.0)]
+    assert tuple(E.latency(frame.limit(0)).first()) == (None, None)
+    assert "collect_list" not in E.latency(frame)._jdf.queryExecution().toString()
+
+
+def test_whole_tables(spark):
+    """Every user, item and vector is in the queries over whole tables."""
+    from tessera.plans import registry
+    from tessera.session import table
+
+    d = "/root/testdata/sf0.001"
+    users = table(spark, d, "events").where("value is not null").select("user_id").distinct().count()
+    assert registry.QUERIES["latency_by_user"](spark, d).count() == users > 1
+    pairs = table(spark, d, "documents").count() * table(spark, d, "benchmark").count()
+    assert registry.QUERIES["exact_bonus_all"](spark, d).count() == pairs
+    assert any(r.qid >= 100 and r.id >= 200 for r in registry.QUERIES["cache_lookup_all"](spark, d).collect())
+
+
 def test_histogram_and_labels(spark):
     q = spark.createDataFrame([(1, 1, 3, ["b", "a"]), (1, 2, 3, ["a"]), (1, 3, 0, ["z"])], "qid int, chunk_id long, score int, subtopics array<string>")
     assert [(r.score, r.n) for r in E.histogram(q).orderBy("score").collect()] == [(0, 1), (1, 0), (2, 0), (3, 2)]
