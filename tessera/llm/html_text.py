@@ -1,10 +1,11 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines: each block element begins one. Elements that are never main text (scripts, menus, headers and
-footers, sidebars, forms, adverts, notices, reader comments) leave empty lines. Over windows of three lines the lengths of
+Markup is stripped into lines: each block element begins one, and what has no text makes none, however deep its tags. Elements
+that are never main text (menus, headers and footers, sidebars, forms, adverts, notices, reader comments) leave an empty line. Over windows of three lines the lengths of
 the text outside links are summed; where the sums surge past a threshold text begins, where they dive to nothing it ends,
-and the lines between are kept. Where a page marks its article, lines outside have no length and the threshold is nothing,
-so that short paragraphs stay.
+and the lines between are kept; so are lines with text outside links between two kept ones. The threshold is nothing where no
+sum passes it, as on pages of short paragraphs. Where a page marks its article, lines outside have no length and the threshold
+is nothing as well, so that all lines inside stay: there the sums decide nothing.
 """
 
 from __future__ import annotations
@@ -69,7 +70,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     def end_line() -> None:
         nonlocal plain
         text = " ".join("".join(parts).split()) if parts else ""
-        lines.append((text, plain, article > 0))
+        if text:  # tags alone make no line
+            lines.append((text, plain, article > 0))
         parts.clear()
         plain = 0
 
@@ -143,6 +145,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         never, main = _judge(name, groups["attributes"] or "", article > 0)
         if never and not skipped:
             end_line()
+            lines.append(("", 0, article > 0))
         stack.append((name, never, main))
         skipped += never
         article += main
@@ -164,16 +167,19 @@ def main_text(html: str | None) -> str:
     for k in range(len(sizes)):
         sums.append(window)
         window += (sizes[k + WINDOW] if k + WINDOW < len(sizes) else 0) - sizes[k]
-    threshold = 0 if marked else min(THRESHOLD, max(sums, default=0) - 1)
+    threshold = 0 if marked or max(sums, default=0) <= THRESHOLD else THRESHOLD
     kept, inside = [], False
-    for (text, _, own), size, total in zip(lines, sizes, sums, strict=True):
+    for k, ((text, _, own), size, total) in enumerate(zip(lines, sizes, sums, strict=True)):
         if not inside and total > threshold and size:
             inside = True  # surge
         elif inside and total == 0:
             inside = False  # dive
         if inside and text and (own or not marked) and (size or not marked):
-            kept.append(text)
-    return "\n\n".join(kept)
+            kept.append(k)
+    if kept and not marked:
+        own = set(kept)
+        kept = [k for k in range(kept[0], kept[-1] + 1) if k in own or sizes[k]]
+    return "\n\n".join(lines[k][0] for k in kept)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -42,6 +42,14 @@ def test_without_an_article():
     assert X.main_text(page) == f"{text}\n\n{text}"
 
 
+def test_short_paragraphs_without_an_article():
+    text = "This paragraph is long enough to make the sums over line blocks surge past the threshold of the method."
+    short, links = "<div><div><p>Short closing remark.</p></div></div>", "<div><a href=z>z</a></div>" * 9
+    assert X.main_text(f"<div><div><p>{text}</p></div></div>{short}") == f"{text}\n\nShort closing remark."
+    assert X.main_text(f"{links}<p>{text}</p>{links}{short}{links}<p>{text}</p>{links}") == f"{text}\n\nShort closing remark.\n\n{text}"
+    assert X.main_text(f"<p>One short.</p>{links}<p>Another.</p>{links}<p>A third one here.</p>") == "One short.\n\nAnother.\n\nA third one here."
+
+
 def test_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<article>a</article>", "z"), (1, "u", "<article>a</article>", "z"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted((tuple(r) for r in X.extract(rows).collect()), key=str) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
