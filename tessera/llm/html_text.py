@@ -22,7 +22,7 @@ WINDOW, THRESHOLD = 3, 86
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^'">]|"[^"]*"|'[^']*')*)>|<[!?/](?:[^>]*)>""", re.S)
 _LOOSE = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>[^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop|type)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s"'>][^\s>]*+))?""")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
 _NEVER = {"nav", "footer", "aside", "form", "button", "select", "option", "datalist", "svg", "canvas", "object", "audio", "video", "map", "menu", "dialog", "fieldset", "math"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -40,7 +40,7 @@ def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     main = name in ("article", "main")
     if name in _NEVER or (name == "header" and not in_article):
         return True, False
-    if attributes and "=" in attributes or "hidden" in attributes:
+    if "=" in attributes or "hidden" in attributes.lower():
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):

@@ -50,6 +50,15 @@ def test_short_paragraphs_without_an_article():
     assert X.main_text(f"<p>One short.</p>{links}<p>Another.</p>{links}<p>A third one here.</p>") == "One short.\n\nAnother.\n\nA third one here."
 
 
+def test_attributes_are_read_one_by_one():
+    for tag in ['a href="/hidden-gems"', 'p title="a hidden valley"', 'a href="/p?id=menu"', "a href=/p?id=menu", 'p data-hidden="false"', 'p data-class="menu"', "p title='class=\"ad\"'", 'p title = "x" lang=en']:
+        name = tag.split()[0]
+        assert X.main_text(f"<article><p>a</p><div><{tag}>text</{name}></div></article>") == "a\n\ntext", tag
+    for tag in ["p hidden", "p HIDDEN", 'p title="x" hidden=""', 'p aria-hidden = "true"', "div class=menu", 'div title="a>b" ID=\'menu\'', 'div style="display: none"', "div role=navigation"]:
+        name = tag.split()[0]
+        assert X.main_text(f"<article><p>a</p><{tag}>text</{name}></article>") == "a", tag
+
+
 def test_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<article>a</article>", "z"), (1, "u", "<article>a</article>", "z"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted((tuple(r) for r in X.extract(rows).collect()), key=str) == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
