@@ -2,13 +2,12 @@
 
 The patterns find e-mail addresses, IPv4 addresses, card and phone numbers as commonly written. The tagger is trained in
 numpy on labelled spans and looks for the same kinds in other forms: addresses spelled with at and dot, numbers without a
-plus sign or with other separators. It reads overlapping windows; the best path of each window gives spans with the margin
-of their score over no span; spans that a window cuts are left to the next window; among those of all windows of a text the
-set of spans without overlap with the highest sum stays. What stays must hold the digits or the address that its kind has,
-and must not meet a span of the patterns.
+plus sign or with other separators. It reads the whole of every text in overlapping windows; the best path of each window
+gives spans with the margin of their score over no span; spans that a window cuts are left to the next window; among those of
+all windows of a text the set of spans without overlap with the highest sum stays. What stays must hold the digits or the
+address that its kind has, and must not meet a span of the patterns.
 
-No valid span lacks all of a digit, an at sign, the word dot, and the word at before a host and a plain dot. Windows lie in
-fixed steps over the whole text; those in which none of these begins are left out, which changes no result.
+Every added span of up to LENGTH - STRIDE characters lies whole in some window; a longer one may be cut by all of them.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ import functools
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches
-from tessera.llm.tagger import Tagger
+from tessera.llm.common import map_batches, slices
+from tessera.llm.tagger import Decoder, Tagger
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -83,7 +83,7 @@ def base_spans(text: str) -> list[Span]:
 # Symbols of the tagger: letters without case, one digit, each ASCII sign, white space, other letters, the rest, padding.
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ \n"
 PAD = 0
-_TABLE = np.full(256, 3, np.int64)
+_TABLE = np.full(256, 3, np.uint8)
 for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz"):
     _TABLE[ord(_c)] = _TABLE[ord(_c.upper())] = 4 + _i
 for _c in "0123456789":
@@ -97,15 +97,18 @@ TAGS = 1 + 2 * len(KINDS)  # none; for each kind its first character and others
 
 
 def symbols_of(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return np.where(points < 256, _TABLE[np.minimum(points, 255)], 2)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < 256, _TABLE[np.minimum(points, 255)], np.uint8(2))
 
 
-_SYLLABLES = "an ar be ca de el en er fo ga ho in is jo ka la ma na on or pe qui ra sa st ta th un vi wo é ü ñ ß ght".split()
+_SYLLABLES = "an ar at be ca com de dot ed el en er es eau fo ga he ho in ing io is it jo ka la ly ma na nd nt on or ou pe qui ra re sa st ta te th ti tion un vi wo é ü ñ ß ght".split()
 
 
 def _word(r: random.Random) -> str:
-    word = "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
+    if r.random() < 0.5:
+        word = "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
+    else:
+        word = "".join(r.choice("aaabcdeeeefghiiijklmnnoooprrssttuvwxyz") for _ in range(r.randint(1, 11)))
     return word.capitalize() if r.random() < 0.15 else word.upper() if r.random() < 0.05 else word
 
 
@@ -142,71 +145,70 @@ def _other(r: random.Random) -> str:
     return r.choice([f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", f"{r.randint(0, 23):02}:{r.randint(0, 59):02}:{r.randint(0, 59):02}", f"{r.randint(1, 9999)}.{r.randint(0, 99):02}", f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"#{_number(r, r.randint(3, 9))}", "".join(r.choice("0123456789abcdef") for _ in range(r.randint(8, 40))), f"AKIA{''.join(r.choice('ABCDEFGHJKLMNPQRSTUVWXYZ0123456789') for _ in range(16))}", f"{r.randint(1, 31)}.{r.randint(1, 12)}.{r.randint(1950, 2030)}", f"@{_name(r)}", f"{r.randint(1, 999)},{_number(r, 3)}", f"{r.randint(1, 99)}%", str(r.randint(0, 10**r.randint(1, 8))), f"{r.randint(1, 99)} {r.randint(1, 99)} {r.randint(1, 99)}", f"at {_word(r)} dot {_word(r)}", f"{_word(r)} dot", f"version {r.randint(1, 9)} point {r.randint(1, 9)}", f"{r.randint(1, 9)}.{r.randint(1, 9)}.{r.randint(1, 99)}", f"{_number(r, 4)}-{_number(r, 2)}", f"ISBN 978-{_number(r, 1)}-{_number(r, 4)}-{_number(r, 4)}-{_number(r, 1)}"])
 
 
-def examples(n: int, seed: int = 0) -> list[tuple[str, list[Span]]]:
-    """Made-up texts with labelled spans."""
+def examples(n: int, seed: int = 0, share: float = 0.2) -> list[tuple[str, list[Span]]]:
+    """Made-up texts with labelled spans, which are a share of their parts."""
     r, out = random.Random(seed), []
     for _ in range(n):
         text, spans = "", []
         for _ in range(r.randint(3, 14)):
             x = r.random()
-            if x < 0.2:
+            if x < share:
                 kind = r.choice(KINDS)
                 entity = _entity(r, kind)
                 spans.append((kind, len(text), len(text) + len(entity)))
                 text += entity
             else:
-                text += _other(r) if x < 0.4 else _word(r)
+                text += _other(r) if x < share + (0.2 if share else 0.04) else _word(r)
             text += r.choice([" ", " ", " ", " ", " ", ", ", ". ", ".\n", "\n", " (", ") ", "$$$ ", "&&& ", "### ", "!! ", ": ", '" '])
         out.append((text, spans))
     return out
 
 
-LENGTH, STRIDE = 96, 48
+#: Characters of a window and from one window to the next: every span of up to LENGTH - STRIDE characters lies whole in one.
+LENGTH, STRIDE = 1120, 1024
+#: The same for the sequences of training; windows scored at once, and windows with hope of a span that are followed at once.
+FIT_LENGTH, FIT_STRIDE, ROWS, HELD = 96, 64, 2048, 256
+#: Characters handled at once by one Python worker.
+CHARS = 4_000_000
 
 
 def _laid_out(labelled: list[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows with their tags; spans that a window cuts keep the tags of what is inside."""
+    """Sequences with their tags; spans that one cuts keep the tags of what is inside."""
     rows, tags = [], []
     for text, spans in labelled:
         own, values = np.zeros(len(text), np.int64), symbols_of(text)
         for kind, a, b in spans:
             own[a:b] = 2 + 2 * KINDS.index(kind)
             own[a] -= 1
-        for at in range(0, max(1, len(text) - STRIDE), STRIDE):
-            row, tag = np.full(LENGTH, PAD), np.zeros(LENGTH, np.int64)
-            part = values[at : at + LENGTH]
-            row[: len(part)], tag[: len(part)] = part, own[at : at + LENGTH]
+        for at in range(0, max(1, len(text) - FIT_LENGTH + FIT_STRIDE), FIT_STRIDE):
+            row, tag = np.full(FIT_LENGTH, PAD), np.zeros(FIT_LENGTH, np.int64)
+            part = values[at : at + FIT_LENGTH]
+            row[: len(part)], tag[: len(part)] = part, own[at : at + FIT_LENGTH]
             rows.append(row)
             tags.append(tag)
     return np.array(rows), np.array(tags)
 
 
+#: Made-up texts of the fit, the share of spans in them, texts without spans for each of them, and steps.
+TEXTS, SHARE, PROSE, STEPS = 6000, 0.5, 0.7, 600
+
+
 @functools.lru_cache(maxsize=2)
-def trained(n: int = 1500, steps: int = 220, seed: int = 0) -> Tagger:
+def trained(n: int = TEXTS, steps: int = STEPS, seed: int = 0) -> Tagger:
     """A tagger fitted to n made-up texts; the same for the same arguments."""
-    return fit(examples(n, seed), steps, seed)
+    return fit(examples(n, seed, SHARE) + examples(int(n * PROSE), seed + 1, 0), steps, seed)
 
 
-def fit(labelled: list[tuple[str, list[Span]]], steps: int = 220, seed: int = 0) -> Tagger:
+def fit(labelled: list[tuple[str, list[Span]]], steps: int = STEPS, seed: int = 0) -> Tagger:
     """A tagger fitted to texts with labelled spans."""
     tagger = Tagger.fresh(SYMBOLS, TAGS, seed=seed)
     tagger.fit(*_laid_out(labelled), steps=steps, seed=seed)
     return tagger
 
 
-# What every valid span has: a digit, an at sign, the word dot, or the word at before a host and a plain dot.
-_TRIGGER = re.compile(r"[0-9@]|(?<![^\W_])[dD][oO][tT](?![^\W_])|(?<![a-zA-Z])[aA][tT](?![a-zA-Z])(?=\s*+[\])}]?+\s*+[A-Za-z0-9-]{1,%d}+\s*+[\[({]?+\s*+\.\s*+[\])}]?+\s*+[A-Za-z0-9-])" % LENGTH)
-
-
-def windows_of(text: str) -> list[int]:
-    """Starts of windows in steps of STRIDE over the whole text, without those in which no trigger begins."""
-    last = max(0, -(-(len(text) - LENGTH) // STRIDE)) * STRIDE
-    starts: dict[int, None] = {}
-    for m in _TRIGGER.finditer(text):
-        at = m.start() // STRIDE * STRIDE
-        for start in range(max(0, at - LENGTH + STRIDE), min(at, last) + 1, STRIDE):
-            starts[start] = None
-    return list(starts)
+def windows_of(size: int) -> range:
+    """Starts of the windows that cover a text of so many characters."""
+    return range(0, size and max(1, size - LENGTH + STRIDE), STRIDE)
 
 
 _AT = re.compile(r"\s*[\[({]?\s*(?:@|(?<![a-z])at(?![a-z]))\s*[\])}]?\s*", re.I)
@@ -236,49 +238,96 @@ def reconciled(found: list[tuple[float, str, int, int]]) -> list[Span]:
         once[tuple(span)] = max(score, once.get(tuple(span), score))
     spans = sorted(once, key=lambda x: (x[2], x[1], x[0]))
     ends = [x[2] for x in spans]
-    best: list[tuple[float, list[int]]] = [(0.0, [])]
+    sums, before = [0.0], []  # of the best choice among the first spans; how many of them end before a span begins
     for k, span in enumerate(spans):
-        before = int(np.searchsorted(ends[:k], span[1], side="right"))
-        taken = best[before][0] + once[span]
-        best.append((taken, [*best[before][1], k]) if taken > best[k][0] else best[k])
-    return [spans[k] for k in best[-1][1]]
-
-
-def added_spans(texts: list[str], bases: list[list[Span]], tagger: Tagger, most: int = 512) -> list[list[Span]]:
+        before.append(bisect_right(ends, span[1], 0, k))
+        sums.append(max(sums[k], sums[before[k]] + once[span]))
+    out, k = [], len(spans)
+    while k:
+        if sums[k] > sums[k - 1]:
+            out.append(spans[k - 1])
+            k = before[k - 1]
+        else:
+            k -= 1
+    return out[::-1]
+
+
+def _runs(tags: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(start, end, kind) of the spans that the tags of a sequence make."""
+    at = np.flatnonzero(tags)
+    if not len(at):
+        return
+    first = np.ones(len(at), bool)
+    first[1:] = (at[1:] != at[:-1] + 1) | (tags[at[1:]] % 2 == 1) | (tags[at[1:]] + 1 >> 1 != tags[at[:-1]] + 1 >> 1)
+    starts = np.flatnonzero(first)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+        yield int(at[a]), int(at[b - 1]) + 1, (int(tags[at[a]]) - 1) // 2
+
+
+def _grids(joined: np.ndarray, begins: np.ndarray, sizes: list[int], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, start and size of windows, their symbols) of windows over the whole of every text; those of about one length
+    go together."""
+    places = np.array([(k, at, min(LENGTH, size - at)) for k, size in enumerate(sizes) for at in windows_of(size)], np.int64).reshape(-1, 3)
+    places = places[np.argsort(places[:, 2], kind="stable")]
+    for a in range(0, len(places), rows):
+        part = places[a : a + rows]
+        grid = np.arange(part[-1, 2] + part[-1, 2] % 2)
+        where = np.minimum((begins[part[:, 0]] + part[:, 1])[:, None] + grid, len(joined) - 1)
+        yield part, np.where(grid < part[:, 2:], joined[where], PAD)
+
+
+def added_spans(texts: list[str], bases: list[list[Span]], decoder: Decoder, rows: int = ROWS) -> list[list[Span]]:
     """What the tagger adds to the spans of the patterns."""
-    places = [(k, at) for k, text in enumerate(texts) for at in windows_of(text)]
-    values = {k: symbols_of(texts[k]) for k in dict.fromkeys(k for k, _ in places)}
+    sizes = [len(x) for x in texts]
+    begins = np.cumsum([0, *sizes])
     found: dict[int, list[tuple[float, str, int, int]]] = {}
-    for a in range(0, len(places), most):
-        part = places[a : a + most]
-        rows = np.full((len(part), LENGTH), PAD)
-        for row, (k, at) in zip(rows, part, strict=True):
-            own = values[k][at : at + LENGTH]
-            row[: len(own)] = own
-        tags, scores = tagger.decode(rows)
-        for (k, at), tag, score in zip(part, tags, scores, strict=True):
-            if not tag.any():
-                continue
-            n, size, i = len(texts[k]), min(LENGTH, len(texts[k]) - at), 0
-            while i < size:
-                if not tag[i]:
-                    i += 1
-                    continue
-                start, kind = i, (int(tag[i]) - 1) // 2
-                i += 1
-                while i < size and tag[i] == 2 + 2 * kind:
-                    i += 1
-                if (start == 0 and at > 0) or (i == LENGTH and at + i < n):
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # windows that may hold spans, and their scores
+
+    def follow() -> None:
+        steps = max(len(x) for _, x in held)
+        gains = np.full((steps, held[0][1].shape[1], sum(x.shape[2] for _, x in held)), -1e6, np.float32)
+        at = 0
+        for _, x in held:
+            gains[: len(x), :, at : at + x.shape[2]] = x
+            at += x.shape[2]
+        for (k, start, size), tag, gain in zip(np.concatenate([x for x, _ in held]).tolist(), *decoder.paths(gains), strict=True):
+            for i, j, kind in _runs(tag[:size]):
+                if (i == 0 and start > 0) or (j == size and start + j < sizes[k]):
                     continue  # cut by the window
-                text = texts[k][at + start : at + i]
-                begin, end = start + len(text) - len(text.lstrip()), i - len(text) + len(text.rstrip())
-                text = text.strip()
-                if text and valid(KINDS[kind], text):
-                    margin = float((score[start:i, :][np.arange(i - start), tag[start:i]] - score[start:i, 0]).sum())
-                    found.setdefault(k, []).append((margin, KINDS[kind], at + begin, at + end))
+                span = texts[k][start + i : start + j]
+                begin, end = start + j - len(span.lstrip()), start + i + len(span.rstrip())
+                if begin < end and valid(KINDS[kind], span.strip()):
+                    found.setdefault(k, []).append((float(gain[i:j].sum()), KINDS[kind], begin, end))
+        held.clear()
+
+    for places, symbols in _grids(symbols_of("".join(texts)), begins, sizes, rows):
+        gains = decoder.gains(symbols)
+        some = decoder.hopeful(gains)
+        if len(some):
+            held.append((places[some], gains[:, :, some]))
+        if sum(len(x) for x, _ in held) >= HELD:
+            follow()
+    if held:
+        follow()
     out: list[list[Span]] = [[] for _ in texts]
     for k, spans in found.items():
-        out[k] = [x for x in reconciled(spans) if not any(a < x[2] and x[1] < b for _, a, b in bases[k])]
+        taken = merged([(a, b) for _, a, b in bases[k]])
+        starts = [a for a, _ in taken]
+        for span in reconciled(spans):
+            before = bisect_left(starts, span[2])  # base spans that begin before the end of this one
+            if not before or taken[before - 1][1] <= span[1]:
+                out[k].append(span)
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Unions of spans that overlap, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -286,6 +335,13 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]))))
 
 
+def _spans(texts: list[str], decoder: Decoder) -> Iterator[tuple[list[Span], list[Span]]]:
+    """The patterns' spans of each text, and those that the tagger adds."""
+    for a, b in slices([len(x) for x in texts], CHARS):
+        bases = [base_spans(x) for x in texts[a:b]]
+        yield from zip(bases, added_spans(texts[a:b], bases, decoder), strict=True)
+
+
 def find(docs: DataFrame, tagger: Tagger | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key long, n_email, n_ip, n_card, n_phone long, base_sha256 string, spans string) of every row.
 
@@ -295,12 +351,10 @@ def find(docs: DataFrame, tagger: Tagger | None = None, key: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(tagger or trained())
 
     def make():
-        own = shared.value
+        decoder = shared.value.decoder()
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            bases = [base_spans(x) for x in texts]
-            more = added_spans(texts, bases, own)
+            bases, more = zip(*_spans([x or "" for x in batch.column(1).to_pylist()], decoder), strict=True)
             columns = [batch.column(0)]
             columns += [pa.array([sum(x[0] == kind for x in base) for base in bases], pa.int64()) for kind in KINDS]
             columns.append(pa.array([hashlib.sha256(written(x).encode()).hexdigest() for x in bases]))
@@ -328,14 +382,13 @@ def redact(docs: DataFrame, tagger: Tagger | None = None, text: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(tagger or trained())
 
     def make():
-        own = shared.value
+        decoder = shared.value.decoder()
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             at = batch.schema.get_field_index(text)
             values = batch.column(at).to_pylist()
             texts = [x or "" for x in values]
-            bases = [base_spans(x) for x in texts]
-            more = added_spans(texts, bases, own)
+            bases, more = zip(*_spans(texts, decoder), strict=True)
             new = [None if v is None else masked(x, [*a, *b]) if a or b else x for v, x, a, b in zip(values, texts, bases, more, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(new, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
