@@ -11,13 +11,16 @@ A state lacks the arc ab if a had been taken from it, or from an ancestor, befor
 state accepts, so each prefix of a word is reached by one path only: a word is encoded by following arcs, trying the
 longest label first and never reaching an offset twice, which takes at most one visit of each offset.
 
-Decoding writes the labels of the arcs. It is compared with the input, which also guards the cache of words.
+Decoding writes the labels of the arcs. Words already met are found by a hash, and their tokens taken over. Two words of one
+hash would differ in length or in their bytes; both are compared, the bytes by decoding the whole text, and a text in which
+any differ is encoded word by word without hashes.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -206,7 +209,7 @@ class Codec:
     def _forget(self) -> None:
         slots = 1 << (2 * self.words - 1).bit_length()
         self.keys, self.values, self.mask = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.uint64(slots - 1)
-        self.offsets, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.offsets, self.counts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.pool, self.used, self.known = np.zeros(4096, np.int32), 0, 0
 
     def _hashes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -246,13 +249,13 @@ class Codec:
             left, slot = left[go], slot[go]
         return out
 
-    def _learn(self, key: int, tokens: list[int]) -> int:
+    def _learn(self, key: int, size: int, tokens: list[int]) -> int:
         if self.known == len(self.counts):
-            self.offsets, self.counts = np.resize(self.offsets, 2 * self.known), np.resize(self.counts, 2 * self.known)
+            self.offsets, self.counts, self.sizes = (np.resize(x, 2 * self.known) for x in (self.offsets, self.counts, self.sizes))
         if self.used + len(tokens) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * (self.used + len(tokens)))
         self.pool[self.used : self.used + len(tokens)] = tokens
-        self.offsets[self.known], self.counts[self.known] = self.used, len(tokens)
+        self.offsets[self.known], self.counts[self.known], self.sizes[self.known] = self.used, len(tokens), size
         slot, mask, keys = key & int(self.mask), int(self.mask), self.keys
         while keys[slot]:
             slot = (slot + 1) & mask
@@ -261,14 +264,17 @@ class Codec:
         self.known += 1
         return self.known - 1
 
-    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids and, for each text, the number of its tokens; no text is empty or holds a special token."""
+    def _encode_plain(self, texts: list[str], hashed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """ids and, for each text, the number of its tokens; no text is empty or holds a special token. Hashed words of one
+        length are not told apart."""
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         sizes = np.array([len(x) for x in texts], np.int64)
         doc_starts = np.cumsum(sizes) - sizes
         starts = word_starts(points, doc_starts)
         ends = np.append(starts[1:], len(points))
+        if not hashed:
+            return self._encode_words(joined, starts, ends, np.searchsorted(starts, doc_starts))
         hashes = self._hashes(points, starts, ends)
         found = self._find(hashes)
         if len(missing := np.flatnonzero(found < 0)):
@@ -285,14 +291,29 @@ class Codec:
                     self._forget()
             encode, learn, numbers = self.automaton.encode_word, self._learn, np.empty(len(fresh), np.int64)
             for k, (key, at) in enumerate(zip(fresh.tolist(), missing[first].tolist(), strict=True)):
-                numbers[k] = learn(key, encode(joined[starts[at] : ends[at]].encode()))
+                numbers[k] = learn(key, int(ends[at] - starts[at]), encode(joined[starts[at] : ends[at]].encode()))
             found[missing] = numbers[where]
+        if (self.sizes[found] != ends - starts).any():
+            return self._encode_words(joined, starts, ends, np.searchsorted(starts, doc_starts))
         counts = self.counts[found].astype(np.int64)
         before = np.cumsum(counts) - counts
         ids = self.pool[np.repeat(self.offsets[found] - before, counts) + np.arange(int(counts.sum()))]
         return ids, np.add.reduceat(counts, np.searchsorted(starts, doc_starts)) if len(texts) else counts
 
-    def encode(self, texts: list[str], special: bool = True) -> list[np.ndarray]:
+    def _encode_words(self, joined: str, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, word by word; firsts: the number of each text's first word."""
+        met: dict[str, list[int]] = {}
+        found = []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            word = joined[a:b]
+            if (tokens := met.get(word)) is None:
+                tokens = met[word] = self.automaton.encode_word(word.encode())
+            found.append(tokens)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(counts.sum()))
+        return ids, np.add.reduceat(counts, firsts)
+
+    def encode(self, texts: list[str], special: bool = True, hashed: bool = True) -> list[np.ndarray]:
         """ids of each text. Strings of special tokens become their ids, as in the tokenizers library, or else are text."""
         marks, pieces, plan = self.automaton.special if special else {}, [], []
         for text in texts:
@@ -310,7 +331,7 @@ class Codec:
             plan.append(parts)
         done: list[np.ndarray] = []
         for a, b in slices([len(x) for x in pieces], CHARS):
-            ids, counts = self._encode_plain(pieces[a:b])
+            ids, counts = self._encode_plain(pieces[a:b], hashed)
             done += np.split(ids, np.cumsum(counts)[:-1])
         out = []
         for text, parts in zip(texts, plan, strict=True):
@@ -323,26 +344,19 @@ class Codec:
         """Labels of the arcs, special tokens included."""
         return b"".join(map(self.automaton.labels.__getitem__, ids.tolist()))
 
-    def encode_checked(self, texts: list[str]) -> list[tuple[np.ndarray, bytes]]:
-        """ids and decoded bytes. Where words collided in the cache the bytes differ, and the text is encoded without it."""
+    def encode_checked(self, texts: list[str], special: bool = True) -> list[tuple[np.ndarray, bytes]]:
+        """ids and decoded bytes."""
         out = []
-        for text, ids in zip(texts, self.encode(texts), strict=True):
-            decoded = self.decode(ids)
-            if decoded != text.encode():
-                ids = self._encode_slowly(text)
+        for text, ids in zip(texts, self.encode(texts, special), strict=True):
+            own, decoded = text.encode(), self.decode(ids)
+            if decoded != own:  # words of one hash and length
+                ids = self.encode([text], special, hashed=False)[0]
                 decoded = self.decode(ids)
+                if decoded != own:
+                    raise ValueError("the automaton's labels do not spell the text")
             out.append((ids, decoded))
         return out
 
-    def _encode_slowly(self, text: str) -> np.ndarray:
-        kept, self.words = self.words, 1
-        self._forget()
-        try:
-            return self.encode([text])[0]
-        finally:
-            self.words = kept
-            self._forget()
-
     def digits(self, ids: np.ndarray) -> bytes:
         """Decimal ids joined by commas."""
         grid = self.decimal[ids]

@@ -37,7 +37,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, separator: int, key: str =
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for a, b in slices([len(x) for x in texts], CHARS):
-                values = [x.astype(kind).tobytes() for x in own.encode(texts[a:b], special=False)]
+                values = [x.astype(kind).tobytes() for x, _ in own.encode_checked(texts[a:b], special=False)]
                 names = [np.frombuffer(b"" if i is None else str(i).encode(), np.uint8).astype(kind).tobytes() for i in ids[a:b]]
                 order = list(range(number, number + b - a))
                 number += b - a

@@ -40,8 +40,7 @@ def test_random_texts(codec):
 
 def test_classes_are_those_of_the_library():
     table_ = char_classes.table()
-    r = random.Random(2)
-    for point in [*range(0x21, 0x600), *(r.choice([r.randrange(0x600, 0xD800), r.randrange(0xE000, 0x110000)]) for _ in range(4000))]:
+    for point in [*range(0x21, 0xD800), *range(0xE000, 0x110000)]:
         found = REFERENCE.pre_tokenizer.pre_tokenize_str("a" + chr(point) + "1")
         kind = char_classes.LETTER if found[0][1][1] == 2 else char_classes.NUMBER if len(found) == 2 else None
         assert (table_[point] == kind) if kind else table_[point] in (char_classes.OTHER, char_classes.WHITE), hex(point)
@@ -53,6 +52,21 @@ def test_forgets_and_goes_on():
     agree(small, [" ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(n)) for n in (10, 60, 200, 5, 49)])
 
 
+def test_words_of_one_hash(codec, monkeypatch):
+    """Neither words built to collide nor a hash that is hardly one change a token."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    agree(codec, [word + "\n" + word.translate(str.maketrans("ab", "ba")), word.translate(str.maketrans("ab", "ba"))])
+    weak = B.Codec(PATH)
+    whole = weak._hashes
+    monkeypatch.setattr(weak, "_hashes", lambda *x: whole(*x) % 7 + 1)
+    r = random.Random(5)
+    agree(weak, [" ".join("".join(r.choice("abc'1é") for _ in range(r.randint(1, 3))) for _ in range(n)) for n in (1, 10, 60, 200)] + ["<|endoftext|>abc xyz<|endoftext|>", "abc", "xyz"])
+    for text in ("abc xyz", "xyz abc <|endoftext|>"):
+        assert weak.encode_checked([text], special=False)[0][1] == text.encode()
+
+
 def test_automaton_accepts_what_merges_make(codec):
     """A word has one accepted path: no other sequence of its tokens has all arcs."""
     a = codec.automaton
