@@ -2,15 +2,17 @@
 
 A payload is written as records of bounded size: a first record and, for an oversized payload, continuation records with
 WARC-Segment-Number and WARC-Segment-Origin-ID, as the standard has it. Each is one row (record id, chunk number, bytes),
-and Spark's text writer lays the rows one after another into files of whole records, on any store that Spark writes. No
-payload is held at once with its record: a page is cut into chunks, and its SHA-1 is carried from chunk to chunk.
+and Spark's text writer lays the rows one after another into files of whole records, on any store that Spark writes. Chunks
+are cut from the bytes of the row as Arrow holds them, one at a time, and the SHA-1 is carried from chunk to chunk.
 
-Readers split such files anywhere. A record ends and the next begins with the line WARC/1.1, after an empty line; a chunk
-that would hold WARC/1.1 is cut inside it, so the sequence never stands within a record. Payloads of one chunk get their digest
-where they are read. Only the chunks of oversized ones are dealt out by record, sorted by chunk number and digested one
-after another, whatever the size of the whole.
+A record ends and the next begins with the line WARC/1.1, after an empty line; a chunk that would hold WARC/1.1 is cut inside
+it, so the sequence never stands within a record and splits the file into rows. Files without compression are read in splits;
+of gzip files, as the query writes them to save disk, each is one stream, and its number of records is bounded (RECORDS).
+Payloads of one chunk get their digest where they are read. Only the chunks of oversized ones are dealt out by written row,
+sorted by chunk number and digested one after another, whatever the size of the whole.
 
-Of pages with equal payloads, that with the smallest id is stored and the others become revisit records, which name it.
+Of pages with equal payloads, that with the smallest id is stored and the others become revisit records, which name it. A
+record's id is its page's id and its payload's digest; copies of an oversized record are told apart by task and row.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir
 
-CHUNK = 256 * 1024
+#: Bytes of a chunk; records of a file.
+CHUNK, RECORDS = 256 * 1024, 8192
 MARK = b"\r\n\r\nWARC/1.1\r\n"
 _PREFIX = "<urn:page:"
 
@@ -34,17 +38,17 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def chunks(payload: bytes, size: int = CHUNK) -> Iterator[bytes]:
+def chunks(payload: bytes | memoryview, size: int = CHUNK) -> Iterator[bytes]:
     """Pieces of at most `size` bytes, at least one; no piece holds the version line that begins a record."""
     at, n = 0, len(payload)
     if n == 0:
         yield b""
     while at < n:
-        end = min(n, at + size)
-        if (found := payload.find(MARK[4:-2], at, end)) >= 0:
-            end = found + 2
-        yield payload[at:end]
-        at = end
+        piece = bytes(payload[at : at + size])
+        if (found := piece.find(MARK[4:-2])) >= 0:
+            piece = piece[: found + 2]
+        yield piece
+        at += len(piece)
 
 
 def _head(kind: str, record: str, length: int, more: dict[str, object]) -> bytes:
@@ -57,44 +61,56 @@ def _uri(url: str | None) -> str | None:
     return None if url is None else "".join(c if c > " " and c != "%" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def records(page: int | None, url: str | None, html: str | None, first: int | None, size: int = CHUNK) -> Iterator[bytes]:
-    """The records of a page. first: the page that holds the payload if it isn't this one."""
-    record = "null" if page is None else str(page)
+def records(page: int | None, url: str | None, payload: bytes | memoryview, sha1: str, first: int | None, row: str, size: int = CHUNK) -> Iterator[bytes]:
+    """The records of a page. sha1: the payload's digest, in hexadecimal; first: the page that holds the payload if it isn't
+    this one; row: a name of the written row."""
+    name = "null" if page is None else str(page)
+    record = f"{name}:{sha1}"
     target = {} if url is None else {"WARC-Target-URI": _uri(url)}
-    payload = (html or "").encode()
+    named = {"WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()}
     if first is not None:
-        named = {"WARC-Refers-To": f"{_PREFIX}{first}>", "WARC-Payload-Digest": f"sha1:{base32_sha1(payload)}", "X-Payload-Length": len(payload), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-        yield _head("revisit", record, 0, target | named) + b"\r\n\r\n"
+        more = {"WARC-Refers-To": f"{_PREFIX}{first}:{sha1}>", "X-Payload-Length": len(payload), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+        yield _head("revisit", record, 0, target | named | more) + b"\r\n\r\n"
         return
     digest, piece, number = hashlib.sha1(), None, 0
     for following in chunks(payload, size):
         if piece is not None:
             number += 1
             digest.update(piece)
-            yield _segment(record, target, number, piece)
+            yield _segment(record, target, number, piece, {"X-Row": row})
         piece = following
     number += 1
     digest.update(piece)
-    named = {"WARC-Payload-Digest": "sha1:" + base64.b32encode(digest.digest()).decode()}
+    if digest.hexdigest() != sha1:
+        raise ValueError(f"payload of page {name} has digest {digest.hexdigest()}, not {sha1}")
     if number == 1:
         yield _head("response", record, len(piece), target | named) + piece + b"\r\n\r\n"
     else:  # the last segment names the whole
-        yield _segment(record, target, number, piece, named | {"WARC-Segment-Total-Length": len(payload)})
+        yield _segment(record, target, number, piece, named | {"X-Row": row, "WARC-Segment-Total-Length": len(payload)})
 
 
-def _segment(record: str, target: dict, number: int, piece: bytes, more: dict | None = None) -> bytes:
-    head = {"WARC-Segment-Number": number} | ({"WARC-Segment-Origin-ID": f"{_PREFIX}{record}>"} if number > 1 else {}) | (more or {})
+def _segment(record: str, target: dict, number: int, piece: bytes, more: dict) -> bytes:
+    head = {"WARC-Segment-Number": number} | ({"WARC-Segment-Origin-ID": f"{_PREFIX}{record}>"} if number > 1 else {}) | more
     name = record if number == 1 else f"{record}#{number}"
     return _head("response" if number == 1 else "continuation", name, len(piece), target | head) + piece + b"\r\n\r\n"
 
 
-def with_first(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """Adds `first_id`: the smallest id of all rows with the same payload, null as empty. The join deals out by digest;
-    a digest of many rows is dealt out further, as the other side has one row for it."""
-    bytes_ = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    keyed = pages.select("*", F.sha1(bytes_).alias("_digest"), F.octet_length(bytes_).alias("_size"))
-    firsts = keyed.groupBy("_digest", "_size").agg(F.min(key).alias("first_id"))
-    return keyed.join(firsts, ["_digest", "_size"], "inner").drop("_digest", "_size")
+def with_first(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload binary, sha1 string, first_id) of pages (page_id, url, html), null as empty. first_id is the
+    smallest id of all rows with the same payload, null where no other row has it or none has an id.
+
+    Only the digests are dealt out, by themselves; those of several rows are written and joined to the pages again. Spark
+    measures the written table: a small one goes to every task, and for a large one the pages are dealt out by digest, a
+    digest of many rows further, as the other side has one row for it.
+    """
+    spark = pages.sparkSession
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    path = shared_dir(spark, "warc-copies")
+    own = pages.select("page_id", F.unhex(F.sha1(payload)).alias("sha1"), F.octet_length(payload).alias("size"))
+    own.groupBy("sha1", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n").write.parquet(path)
+    keyed = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha1"), F.octet_length(payload).alias("size"))
+    marked = keyed.join(spark.read.parquet(path), ["sha1", "size"], "left")
+    return marked.select("page_id", "url", "payload", F.lower(F.hex("sha1")).alias("sha1"), "first_id")
 
 
 def write(pages: DataFrame, path: str, size: int = CHUNK, compression: str = "gzip", key: str = "page_id", url: str = "url", payload: str = "html") -> None:
@@ -102,41 +118,43 @@ def write(pages: DataFrame, path: str, size: int = CHUNK, compression: str = "gz
     holds its payload unless a row with an id has the same one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, begun = [], 0, False
+        task = TaskContext.get().partitionId()
+        rows, held, number = [], 0, 0
         for batch in batches:
-            for page, link, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for record in records(page, link, html, None if first == page else first, size):
+            ids, urls, _, digests, firsts = (c.to_pylist() if k != 2 else None for k, c in enumerate(batch.columns))
+            for page, link, data, sha1, first in zip(ids, urls, batch.column(2), digests, firsts, strict=True):
+                number += 1
+                for record in records(page, link, memoryview(data.as_buffer()), sha1, None if first == page else first, f"{task}-{number}", size):
                     # the writer ends each row by a line feed: the last byte of a record
                     rows.append(record[:-1])
                     held += len(record)
-                    begun = True
                     if held > 16 * CHUNK:
                         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
                         rows, held = [], 0
-        if begun:
+        if rows:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
     marked = with_first(pages.selectExpr(f"cast(`{key}` as long) page_id", f"cast(`{url}` as string) url", f"`{payload}` html"))
-    bytes_ = marked.select("page_id", "url", "html", "first_id").mapInArrow(run, "value binary")
-    bytes_.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", compression).text(path)
+    bytes_ = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    bytes_.write.option("lineSep", "\n").option("compression", compression).option("maxRecordsPerFile", RECORDS).text(path)
 
 
-_PARTS = "record string, kind string, url string, chunk int, last boolean, named string, total long, refers string, data binary"
+_PARTS = "record string, kind string, url string, chunk int, last boolean, named string, total long, refers string, row string, data binary"
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """The table of chunks: record id, type, chunk number from 1, whether it is the last, its bytes and what its header says.
-    Rows are records; files are read in splits, never as a whole."""
+    Rows are records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in range(10)]
             for row in batch.column(0).to_pylist():
                 if not row:
                     continue
                 for column, value in zip(out, _parse(row), strict=True):
                     column.append(value)
-            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.binary())
+            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], [x.split()[0] for x in _PARTS.split(", ")])
 
     rows = spark.read.option("lineSep", MARK.decode()).text(path).select(F.col("value").cast("binary"))
@@ -154,7 +172,7 @@ def _parse(row: bytes) -> tuple:
     last = "WARC-Segment-Total-Length" in fields or "WARC-Segment-Number" not in fields
     total = fields.get("X-Payload-Length") or fields.get("WARC-Segment-Total-Length") or (length if last else None)
     refers = fields.get("WARC-Refers-To")
-    return record, fields["WARC-Type"], fields.get("WARC-Target-URI"), number, last, fields.get("WARC-Payload-Digest", "")[5:] or None, total and int(total) or (0 if last else None), refers and refers[len(_PREFIX) : -1], data[:length]
+    return record, fields["WARC-Type"], fields.get("WARC-Target-URI"), number, last, fields.get("WARC-Payload-Digest", "")[5:] or None, None if total is None else int(total), refers and refers[len(_PREFIX) : -1], fields.get("X-Row"), data[:length]
 
 
 _OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -163,12 +181,12 @@ _OUT = "page_id long, payload_bytes long, payload_digest string, record_type str
 def payloads(table: DataFrame) -> DataFrame:
     """One row for each record of a table of chunks, with the size and digest of its payload as read.
 
-    The digest of what was read is held against the one that the header names; a difference raises ValueError. A record
-    that repeats with its id and several chunks is put together copy by copy, in the order of chunk numbers.
+    The digest of what was read is held against the one that the header names; a difference raises ValueError.
     """
 
     def number(x: str | None) -> int | None:
-        return None if x in (None, "null") else int(x)
+        name = None if x is None else x.split(":")[0]
+        return None if name in (None, "null") else int(name)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
@@ -189,15 +207,15 @@ def payloads(table: DataFrame) -> DataFrame:
                 yield batch_of(rows)
 
     def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, open_ = None, {}  # a record's copies: number of chunks so far -> digests with sizes
+        current, digest, size, following = None, None, 0, 0
         for batch in batches:
             rows = []
-            for record, chunk, last, named, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if record != current:
-                    if any(open_.values()):
-                        raise ValueError(f"record {current} has no end")
-                    current, open_ = record, {}
-                digest, size = (hashlib.sha1(), 0) if chunk == 1 else open_[chunk - 1].pop()
+            for record, row, chunk, last, named, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if current is None:
+                    current, digest, size, following = (record, row), hashlib.sha1(), 0, 1
+                if (record, row) != current or chunk != following:
+                    raise ValueError(f"record {current[0]} has no chunk {following}")
+                following += 1
                 digest.update(data)
                 size += len(data)
                 if last:
@@ -205,15 +223,14 @@ def payloads(table: DataFrame) -> DataFrame:
                     if found != named:
                         raise ValueError(f"payload of record {record} has digest {found}, not {named}")
                     rows.append((number(record), size, found, "response", None))
-                else:
-                    open_.setdefault(chunk, []).append((digest, size))
+                    current = None
             if rows:
                 yield batch_of(rows)
-        if any(open_.values()):
-            raise ValueError(f"record {current} has no end")
+        if current is not None:
+            raise ValueError(f"record {current[0]} has no end")
 
     single = table.where("last and chunk = 1").select("record", "kind", "named", "total", "refers", "data").mapInArrow(one, _OUT)
-    whole = table.where("not last or chunk > 1").select("record", "chunk", "last", "named", "data").repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(many, _OUT)
+    whole = table.where("not last or chunk > 1").select("record", "row", "chunk", "last", "named", "data").repartition("record", "row").sortWithinPartitions("record", "row", "chunk").mapInArrow(many, _OUT)
     return single.unionByName(whole)
 
 

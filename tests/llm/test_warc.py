@@ -9,7 +9,7 @@ from tessera.llm import warc
 
 MARK = "\r\n\r\nWARC/1.1\r\n"
 LONG = "é" * 5000 + MARK + "q" * 3000
-ROWS = [(1, "u", "abc"), (2, "u2", "abc"), (3, None, None), (4, "x y\n", ""), (5, "u", MARK * 3 + "zz"), (6, "u", LONG), (6, "u", LONG), (None, "n", "abc"), (None, "n", "only"), (7, "u", MARK), (0, "u", LONG), (9, "u", "\r\n\r\n"), (10, "u", "\n" * 3000), (11, "u", "WARC/1.1\r\nx"), (12, "u", "x\r\n\r\nWARC/1.1"), (13, "u", LONG + "2"), (13, "u", LONG + "3"), (13, "u", LONG + "3")]
+ROWS = [(1, "u", "abc"), (2, "u2", "abc"), (3, None, None), (4, "x y\n", ""), (5, "u", MARK * 3 + "zz"), (6, "u", LONG), (6, "u", LONG), (None, "n", "abc"), (None, "n", "only"), (7, "u", MARK), (0, "u", LONG), (9, "u", "\r\n\r\n"), (10, "u", "\n" * 3000), (11, "u", "WARC/1.1\r\nx"), (12, "u", "x\r\n\r\nWARC/1.1"), (13, "u", LONG + "2"), (13, "u", LONG + "3"), (13, "u", LONG + "3"), (14, "u", "A" * 3000), (14, "u", "B" * 3000), (None, "u", "C" * 3000), (None, "u", "D" * 3000), (None, "u", "D" * 3000), (15, "u", "E" * 600_000), (15, "u", "F" * 600_000), (None, "u", "G" * 600_000), (None, "u", "H" * 600_000)]
 
 
 def digest(text):
@@ -51,7 +51,16 @@ def test_archives_are_warc(spark, tmp_path):
         payloads[origin] = payloads.get(origin, b"") + data[end + 4 : end + 4 + size]
         at = end + 8 + size
     assert sorted(kinds) == ["continuation", "continuation", "response", "response", "revisit"]
-    assert payloads == {"<urn:page:1>": b"x" * 2500, "<urn:page:2>": b"", "<urn:page:3>": b"y"}
+    sha1 = hashlib.sha1(b"x" * 2500).hexdigest()
+    assert payloads == {f"<urn:page:1:{sha1}>": b"x" * 2500, f"<urn:page:2:{sha1}>": b"", f"<urn:page:3:{hashlib.sha1(b'y').hexdigest()}>": b"y"}
+
+
+def test_missing_chunks_are_seen(spark):
+    rows = [("1:aa", "response", None, k, False, None, None, None, "0-1", b"x") for k in (1, 3)]
+    with pytest.raises(Exception, match="no chunk 2"):
+        warc.payloads(spark.createDataFrame(rows, warc._PARTS)).collect()
+    with pytest.raises(Exception, match="no end"):
+        warc.payloads(spark.createDataFrame(rows[:1], warc._PARTS)).collect()
 
 
 def test_no_piece_holds_the_version_line():
