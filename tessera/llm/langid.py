@@ -25,7 +25,7 @@ from tessera.llm import char_classes as cc
 from tessera.llm.common import map_batches, slices
 
 ORDER, Z, WINDOW = 4, 6.0, 64
-#: Bounds of the fit: labelled documents of each language, their longest text, languages.
+#: Bounds of the fit: labelled documents of each language, characters taken of each, languages.
 SAMPLE, LONGEST, LANGUAGES = 200, 20_000, 500
 #: Characters scored at once, n-grams remembered by a worker, and the sharpness of the score.
 CHARS, MEMORY, SHARPNESS = 300_000, 300_000, 10.0
@@ -242,10 +242,11 @@ class Scorer:
 
 
 def fit(texts: dict[str, list[str]]) -> Model:
-    """Fit models on four of five texts of each language, and calibrate rejection on the others."""
+    """Fit models on four of five texts of each language, and calibrate rejection on the others. Languages without a letter
+    have no model; without any language the model is empty, explains nothing and accepts nothing."""
     texts = {k: v for k, v in texts.items() if any(symbols([x])[2][0] for x in v)}
     if not texts:
-        raise ValueError("no labelled text with a letter")
+        return Model([], [], [], [], [], 1.0, np.zeros(0), np.zeros((0, 2)))
     held = {k: v[::5] if len(v) >= 10 else v for k, v in texts.items()}
     model = fit_counts({k: [x for i, x in enumerate(v) if i % 5] if len(v) >= 10 else v for k, v in texts.items()})
     scorer = Scorer(model)
@@ -270,6 +271,8 @@ def fit(texts: dict[str, list[str]]) -> Model:
 def predict(scorer: Scorer, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
     """(language, score, cross-entropy, accepted) of each text. Ties go to the language first in order."""
     model = scorer.model
+    if not model.languages:
+        return [("und", 0.0, None, False)] * len(texts)
     found, mixed, n = scorer.entropies([x or "" for x in texts])
     best = found.argmin(axis=1)
     lowest = found[np.arange(len(found)), best]
@@ -284,17 +287,21 @@ def in_fold(key: str = "doc_id"):
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on at most about `sample` labelled documents of each language, of at most LONGEST characters, outside the fold
-    that is held out; which ones depends on hashes of their ids. Rows without an id, label or text teach nothing."""
-    labelled = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~in_fold("id"))
+    """Fit on at most about `sample` labelled documents of each language, outside the fold that is held out; which ones
+    depends on hashes of their ids. Of a text of more than LONGEST characters a piece of that length is taken, from a place
+    that depends on its id as well. Rows without an id, a label or text teach nothing; where none is left, the model is
+    empty."""
+    labelled = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    labelled = labelled.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~in_fold("id"))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
-        raise ValueError("no labelled document to learn from")
+        return fit({})
     draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30))
     limits = F.coalesce(*(F.when(F.col("lang") == k, F.lit(int((1 << 30) * min(1.0, 1.2 * sample / n)))) for k, n in counts.items()))
-    rows = labelled.where((draw < limits) & F.length("text").between(1, LONGEST)).select("lang", draw.alias("draw"), "text").collect()
+    start = F.pmod(F.xxhash64("id", F.lit(8)), F.greatest(F.length("text") - LONGEST, F.lit(0)) + 1).cast("int") + 1
+    rows = labelled.where(draw < limits).select("lang", draw.alias("draw"), F.substring("text", start, F.lit(LONGEST)).alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["draw"], r["text"])):
         if len(own := texts.setdefault(r["lang"], [])) < sample:

@@ -85,5 +85,30 @@ def test_rows(spark, model):
     assert [x[1] for x in got] == ["en", "en", "und"] and got[2][2] is False
     assert L.accepted(rows, model).columns == rows.columns and L.accepted(rows, model).count() == 2
     assert L.identify(rows.limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        L.train(rows.limit(0))
+
+
+def test_nothing_to_learn_from(spark):
+    rows = spark.createDataFrame([(1, "The and of", None), (2, None, None), (None, "x", "en"), (4, "123", "en")], "doc_id long, text string, lang string")
+    for docs in (rows, rows.limit(0)):
+        model = L.train(docs)
+        assert model.languages == []
+        assert {(r.lang_pred, r.score, r.cross_entropy, r.accepted) for r in L.identify(docs, model).collect()} <= {("und", 0.0, None, False)}
+        assert L.identify(docs, model).count() == docs.count() and L.accepted(docs, model).count() == 0
+
+
+def test_long_texts_teach(spark):
+    docs = [(k, "der die und das ist nicht " * 2000 if k % 2 else "the of and that is not " * 10, "de" if k % 2 else "en") for k in range(40)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = L.train(rows)
+    assert model.languages == ["de", "en"] and L.predict(L.Scorer(model), ["und das ist"])[0][0] == "de"
+
+
+def test_false_acceptance(spark, model):
+    """Texts of a language that none of the models knows, whole and in pieces of 60 characters."""
+    docs = table(spark, DATA, "documents").where("lang is not null").select("text", "lang").collect()
+    for left_out in model.languages:
+        known = {k: [r.text for r in docs if r.lang == k][:150] for k in model.languages if k != left_out}
+        scorer = L.Scorer(L.fit(known))
+        texts = [r.text for r in docs if r.lang == left_out and len(r.text) > 400][:100]
+        assert np.mean([x[3] for x in L.predict(scorer, texts)]) <= 0.05, left_out
+        assert np.mean([x[3] for x in L.predict(scorer, [x[100:160] for x in texts])]) <= 0.35, left_out
