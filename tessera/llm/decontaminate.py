@@ -7,7 +7,8 @@ automaton. Around each hit the stretch that the item could fill, k longer to eit
 algorithm of Myers, which keeps a column of the distance table in machine words (here one long integer).
 
 Both sides are compared in lower case with each run of white space as one space. Benchmark items travel to the tasks in
-blocks of bounded size; a larger benchmark takes more passes over the documents.
+blocks of about a bounded size; a larger benchmark takes more passes over the documents, each written before the next begins,
+so the driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import release, shared_dir
+
 #: Share of an item's characters that may differ; characters of items that go to the tasks at once.
 RATE, BLOCK_CHARS = 0.08, 4_000_000
 
@@ -132,43 +135,62 @@ class Finder:
         return out
 
 
-def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = BLOCK_CHARS) -> Iterator[list[Item]]:
-    """Items in blocks of about `most` characters; the size is measured first. Null and blank texts match nothing."""
-    own = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).where("text is not null")
-    total = own.agg(F.sum(F.length("text") + 8)).first()[0] or 0
-    n = -(-total // most)
-    for k in range(n):
-        part = own if n == 1 else own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], r["text"]) for r in part.collect()]
+class Blocks:
+    """A benchmark's items in blocks of about `most` characters, dealt by a hash of id and text; the size is measured first.
+    Null and blank texts match nothing."""
 
+    def __init__(self, benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = BLOCK_CHARS):
+        self.items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).where("text is not null")
+        total = self.items.agg(F.sum(F.length("text").cast("long") + 8)).first()[0] or 0
+        self.n = -(-total // most)
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(key long, item_id long, distance int, end_at long): items found in documents, with the smallest distance and the
-    end of its first stretch in the document's compared form. Texts may be null or empty and match nothing; a repeated row
-    is searched again; items that repeat an id count once with their best distance. Columns besides those named are not
-    looked at. Empty tables give an empty result."""
-    ddl = "id long, item_id long, distance int, end_at long"
-    own, out = docs.selectExpr(f"cast(`{key}` as long) id", f"`{text}` t"), None
-    for items in item_blocks(benchmark, most=block_chars):
+    def __iter__(self) -> Iterator[list[Item]]:
+        for k in range(self.n):
+            part = self.items if self.n == 1 else self.items.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.n)) == k)
+            yield [(r["item"], r["text"]) for r in part.distinct().collect()]
 
-        def run(batches: Iterator[pa.RecordBatch], items: list[Item] = items) -> Iterator[pa.RecordBatch]:
-            finder = Finder(items, rate)
-            for batch in batches:
-                rows = [(i, item, d, end) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for item, (d, end) in finder.find(t).items()]
-                if rows:
-                    columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["id", "item_id", "distance", "end_at"])
 
-        part = own.mapInArrow(run, ddl)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], ddl)
-    return out.withColumnRenamed("id", key)
+def _found(docs: DataFrame, items: list[Item], rate: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(items, rate)
+        for batch in batches:
+            rows = [(i, item, d, end) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for item, (d, end) in finder.find(t).items()]
+            if rows:
+                columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], ["id", "item_id", "distance", "end_at"])
 
+    return docs.mapInArrow(run, _DDL)
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text") -> DataFrame:
+
+_DDL = "id long, item_id long, distance int, end_at long"
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(key long, item_id long, distance int, end_at long): items found in documents, with the smallest distance and the
+    end of its first stretch in the document's compared form.
+
+    There is one row for each document id and item id: rows that repeat an id, or have none, count as one document, and items
+    that repeat an id, or have none, as one item, with the smallest of their distances. Null and empty texts match nothing.
+    Columns besides those named are not looked at. Empty tables give an empty result.
+    """
+    spark = docs.sparkSession
+    own, blocks = docs.selectExpr(f"cast(`{key}` as long) id", f"`{text}` t"), Blocks(benchmark, most=block_chars)
+    if blocks.n == 1:
+        found = _found(own, next(iter(blocks)), rate)
+    else:
+        path = shared_dir(spark, "matches")
+        spark.createDataFrame([], _DDL).write.parquet(path)
+        for items in blocks:
+            _found(own, items, rate).write.mode("append").parquet(path)
+        found = spark.read.schema(_DDL).parquet(path)
+    best = found.groupBy("id", "item_id").agg(F.min(F.struct("distance", "end_at")).alias("best"))
+    return best.select(F.col("id").alias(key), "item_id", "best.distance", "best.end_at")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
-    for items in item_blocks(benchmark):
+    blocks, written = Blocks(benchmark, most=block_chars), None
+    for items in blocks:
 
         def run(batches: Iterator[pa.RecordBatch], items: list[Item] = items) -> Iterator[pa.RecordBatch]:
             finder = Finder(items, rate)
@@ -176,5 +198,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str =
                 keep = [not finder.find(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pc.filter(c, pa.array(keep, pa.bool_())) for c in batch.columns], schema=batch.schema)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        kept = docs.mapInArrow(run, docs.schema)
+        if blocks.n > 1:
+            path = shared_dir(docs.sparkSession, "clean")
+            kept.write.parquet(path)
+            kept = docs.sparkSession.read.schema(docs.schema).parquet(path)
+            if written:
+                release(docs.sparkSession, written)
+            written = path
+        docs = kept
     return docs
