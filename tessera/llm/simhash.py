@@ -8,8 +8,8 @@ gets more than two chunks, and no pair is lost.
 
 In a group, bit planes stand vertically: word w of plane b holds bit b of 64 fingerprints. For one fingerprint against all,
 each plane is inverted where its own bit is set, and added to distances kept in carry-save form, a word for the ones, one for
-the twos, and one that stays set once a distance has passed three. Rows with all distances past three are abandoned. Of the
-links in a group only a spanning forest leaves the task.
+the twos, and one that stays set once a distance has passed three. Blocks of 64 distances that are all past three are
+abandoned. Of the links in a group only a spanning forest leaves the task.
 """
 
 from __future__ import annotations
@@ -103,8 +103,11 @@ class _Distances:
         self.past |= self.twos & carry
         self.twos ^= carry
 
-    def keep(self, rows: np.ndarray) -> None:
-        self.ones, self.twos, self.past = self.ones[rows], self.twos[rows], self.past[rows]
+    def flatten(self) -> None:
+        self.ones, self.twos, self.past = self.ones.ravel(), self.twos.ravel(), self.past.ravel()
+
+    def keep(self, blocks: np.ndarray) -> None:
+        self.ones, self.twos, self.past = self.ones[blocks], self.twos[blocks], self.past[blocks]
 
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -128,24 +131,45 @@ def pairs_within(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def matrix_within(values: np.ndarray) -> np.ndarray:
-    """Row i, packed: which values differ from value i in at most three bits."""
+    """Row i, packed: which values differ from value i in at most three bits.
+
+    A value's own bit and the padding count as past the radius from the beginning, so that they keep no block alive; a block
+    is a row's word, the distances of 64 values. Planes in which all values agree add nothing and are left out.
+    """
     planes = planes_of(values)
     n, words = len(values), planes.shape[1]
+    vary = int(np.bitwise_or.reduce(values) ^ np.bitwise_and.reduce(values))
+    order = [b for b in range(64) if vary >> b & 1]
     out = np.zeros((n, words), np.uint64)
+    padding = np.zeros(words, np.uint64)
+    if n % 64:
+        padding[-1] = ~np.uint64((1 << n % 64) - 1)
     for a in range(0, n, 512):
         part = values[a : a + 512]
-        rows, distances = np.arange(len(part)), _Distances((len(part), words))
-        for b in range(64):
-            flip = np.where(part[rows] >> np.uint64(b) & np.uint64(1), _ALL, np.uint64(0))
-            distances.add(planes[b][None, :] ^ flip[:, None])
-            if b % 8 == 7 and b < 63:
-                alive = (distances.past != _ALL).any(axis=1)
-                if not alive.all():
-                    rows = rows[alive]
-                    distances.keep(alive)
-        out[a + rows] = ~distances.past
-    if n % 64:
-        out[:, -1] &= np.uint64((1 << n % 64) - 1)
+        rows = np.arange(len(part))
+        distances = _Distances((len(part), words))
+        distances.past |= padding
+        own = a + rows
+        distances.past[rows, own // 64] |= np.uint64(1) << (own % 64).astype(np.uint64)
+        row = word = None
+        for k, b in enumerate(order):
+            flip = np.where(part >> np.uint64(b) & np.uint64(1), _ALL, np.uint64(0))
+            distances.add(planes[b][None, :] ^ flip[:, None] if row is None else planes[b, word] ^ flip[row])
+            if k % 8 == 7 and k + 1 < len(order):
+                alive = np.flatnonzero(distances.past != _ALL)
+                if row is None:
+                    if len(alive) > 0.7 * distances.past.size:
+                        continue
+                    row, word = alive // words, alive % words
+                    distances.flatten()
+                else:
+                    row, word = row[alive], word[alive]
+                distances.keep(alive)
+        if row is None:
+            out[own] = ~distances.past
+        else:
+            out[a + row, word] = ~distances.past
+        out[own, own // 64] |= np.uint64(1) << (own % 64).astype(np.uint64)
     return out
 
 

@@ -47,6 +47,24 @@ def test_distances():
     assert (bits[:, : len(values)].astype(bool) == (np.bitwise_count(values[:, None] ^ values) <= 3)).all() and not bits[:, len(values) :].any()
 
 
+def test_blocks_are_abandoned(monkeypatch):
+    r = np.random.default_rng(5)
+    done = []
+    add = S._Distances.add
+    monkeypatch.setattr(S._Distances, "add", lambda self, plane: (done.append(plane.size), add(self, plane))[1])
+    values = r.integers(0, 2**64, 500, dtype=np.uint64)
+    values[250] = values[3] ^ np.uint64(5)
+    bits = np.unpackbits(S.matrix_within(values).view(np.uint8), axis=1, bitorder="little")[:, :500].astype(bool)
+    assert (bits == (np.bitwise_count(values[:, None] ^ values) <= 3)).all()
+    assert sum(done) < 0.5 * 64 * 500 * 8
+    done.clear()
+    S.pairs_within(values[:-1], values[1:])
+    assert sum(done) < 0.6 * 64 * 8
+    for few in (values[:1], np.full(70, 7, np.uint64), np.arange(200, dtype=np.uint64)):
+        bits = np.unpackbits(S.matrix_within(few).view(np.uint8), axis=1, bitorder="little").astype(bool)
+        assert (bits[:, : len(few)] == (np.bitwise_count(few[:, None] ^ few) <= 3)).all() and not bits[:, len(few) :].any()
+
+
 @pytest.mark.parametrize("chunk", [S.CHUNK, 16])
 def test_links_lose_nothing(spark, chunk):
     r = np.random.default_rng(1)
