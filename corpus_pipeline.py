@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe_automaton, decontaminate, langid, pii, simhash
-from tessera.llm.common import shared_dir
+from tessera.llm.common import release, shared_dir
 from tessera.session import table
 
 
@@ -58,12 +58,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between is written into the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what lies between is written into the shared folder, and deleted once the next stage is
+    written. What the last stage reads stays, as its result is not yet computed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = shared_dir(spark, f"pipeline-{name}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                release(spark, before)
+            before = path
     return docs

@@ -12,22 +12,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is unset, as in tests, a temporary folder becomes the session's checkpoint folder.
-    """
+def _root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessera-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return root
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share. Only where that setting is unset and all runs
+    on this machine, as in tests, a temporary folder becomes the session's checkpoint folder; on a cluster that is an error."""
+    return f"{_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def can_checkpoint(spark: SparkSession) -> None:
     """Make sure that checkpoint() has a folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    _root(spark)
 
 
 def release(spark: SparkSession, *paths: str) -> None:

@@ -56,5 +56,12 @@ def test_stages_keep_columns_and_odd_rows(spark):
 
 def test_empty(spark):
     docs = table(spark, DATA, "documents")
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_no_labels(spark, tmp_path):
+    """Without a label there is no model, and a language stage that knows none rejects all."""
+    table(spark, DATA, "documents").selectExpr("doc_id", "text", "cast(null as string) lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, DATA, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
