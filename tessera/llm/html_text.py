@@ -1,11 +1,15 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped into lines: each block element begins one, and what has no text makes none, however deep its tags. Elements
-that are never main text (menus, headers and footers, sidebars, forms, adverts, notices, reader comments) leave an empty line. Over windows of three lines the lengths of
-the text outside links are summed; where the sums surge past a threshold text begins, where they dive to nothing it ends,
-and the lines between are kept; so are lines with text outside links between two kept ones. The threshold is nothing where no
-sum passes it, as on pages of short paragraphs. Where a page marks its article, lines outside have no length and the threshold
-is nothing as well, so that all lines inside stay: there the sums decide nothing.
+Markup is stripped into lines: each block element begins one, and what has no text makes none, however deep its tags. Tags
+shape the lines and nothing else. Elements that are never main text (menus, headers and footers, sidebars, forms, adverts,
+notices, reader comments) leave GAP empty lines, or one inside an article. Where a page marks an article, GAP empty lines
+part it from the rest, and lines outside have no length; elsewhere the length of a line is that of its text outside links.
+
+Then the sums of lengths over windows of WINDOW lines decide. Where a sum surges past the threshold text begins, which
+reaches back to the last dive; where the sums dive to nothing it ends. The lines between are kept; where no article is marked,
+so are lines with text outside links between two kept ones. Of several stretches only those stay in which some sum passes the
+threshold: a short text in a block of its own goes, and so does a teaser that is marked as an article of its own. On pages of
+short lines, where no sum passes it, the threshold is nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import map_batches
 
-WINDOW, THRESHOLD = 3, 86
+WINDOW, THRESHOLD, GAP = 3, 86, 3
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^'">]|"[^"]*"|'[^']*')*)>|<[!?/](?:[^>]*)>""", re.S)
 _LOOSE = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>[^>]*)>", re.S)
@@ -60,12 +64,17 @@ def _judge(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     return False, main
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article) of every line; never-main elements give empty lines."""
-    lines: list[tuple[str, int, bool]] = []
+Line = tuple[str, int, bool]
+
+
+def lines_of(html: str) -> list[Line]:
+    """(text, characters outside links, inside an article) of every line; what parts stretches is lines without text."""
+    lines: list[Line] = []
     parts: list[str] = []
     plain = links = skipped = article = 0
     stack: list[tuple[str, bool, bool]] = []  # name, begins what is never main text, begins an article
+    places: dict[str, list[int]] = {}  # where in the stack the elements of a name are, and those that end a scope
+    scopes: list[int] = []
 
     def end_line() -> None:
         nonlocal plain
@@ -75,6 +84,14 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         parts.clear()
         plain = 0
 
+    def part(n: int) -> None:
+        """At least n lines without text."""
+        end_line()
+        have = 0
+        while have < min(n, len(lines)) and not lines[-1 - have][0]:
+            have += 1
+        lines.extend([("", 0, article > 0)] * (n - have))
+
     def add(text: str) -> None:
         nonlocal plain
         if not skipped and text:
@@ -83,15 +100,41 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             if not links:
                 plain += len("".join(text.split()))
 
+    def push(name: str, never: bool, main: bool) -> None:
+        nonlocal links, skipped, article
+        if not skipped and (never or main):
+            part(1 if never and article else GAP)
+        places.setdefault(name, []).append(len(stack))
+        if name in _SCOPE:
+            scopes.append(len(stack))
+        stack.append((name, never, main))
+        skipped += never
+        article += main
+        links += name == "a"
+
     def pop() -> None:
         nonlocal links, skipped, article
         name, never, main = stack.pop()
+        places[name].pop()
+        if name in _SCOPE:
+            scopes.pop()
         if name in _BLOCK and not skipped:
             end_line()
         skipped -= never
         article -= main
+        if main and not skipped:
+            part(GAP)
         links -= name == "a"
 
+    def open_at(names: set[str]) -> int:
+        """Where the innermost open element of some names is, if no scope ends between; or -1."""
+        at = max((places[x][-1] for x in names if places.get(x)), default=-1)
+        return at if not scopes or at >= scopes[-1] else -1
+
+    def close(at: int) -> None:
+        while len(stack) > at >= 0:
+            pop()
+
     at, n = 0, len(html)
     while at < n:
         begin = html.find("<", at)
@@ -113,10 +156,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if not name:
             continue
         if groups["close"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            if depth >= 0:
-                while len(stack) > depth:
-                    pop()
+            if places.get(name):
+                close(places[name][-1])
             elif name in _BLOCK and not skipped:
                 end_line()
             continue
@@ -126,60 +167,49 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             continue
         if name == "br" or name == "hr":
             add("\n")
-        if name in _ENDS_P and stack and stack[-1][0] != "p" and any(x[0] == "p" for x in stack) and not any(x[0] in _SCOPE for x in stack[max(k for k, x in enumerate(stack) if x[0] == "p") + 1 :]):
-            while stack[-1][0] != "p":
-                pop()
-        if name in _ENDS_P and stack and stack[-1][0] == "p":
-            pop()
+        if name in _ENDS_P:
+            close(open_at({"p"}))
         if siblings := _SIBLINGS.get(name):
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] not in siblings and stack[k][0] not in _SCOPE:
-                k -= 1
-            if k >= 0 and stack[k][0] in siblings:
-                while len(stack) > k:
-                    pop()
+            close(open_at(siblings))
         if name in _BLOCK and not skipped:
             end_line()
-        if name in _VOID:
-            continue
-        never, main = _judge(name, groups["attributes"] or "", article > 0)
-        if never and not skipped:
-            end_line()
-            lines.append(("", 0, article > 0))
-        stack.append((name, never, main))
-        skipped += never
-        article += main
-        links += name == "a"
-    while stack:
-        pop()
+        if name not in _VOID:
+            push(name, *_judge(name, groups["attributes"] or "", article > 0))
+    close(0)
     end_line()
     return lines
 
 
-def main_text(html: str | None) -> str:
-    """Blocks of the main text in page order, joined by an empty line; empty if there is none."""
-    if not html:
-        return ""
-    lines = lines_of(html)
-    marked = any(text and inside for text, _, inside in lines)
-    sizes = [(len(text) if inside else 0) if marked else plain for text, plain, inside in lines]
+def kept_lines(lines: list[Line]) -> list[int]:
+    """The lines between surge and dive."""
+    marked = any(text and own for text, _, own in lines)
+    sizes = [(len(text) if own else 0) if marked else plain for text, plain, own in lines]
     sums, window = [], sum(sizes[:WINDOW])
     for k in range(len(sizes)):
         sums.append(window)
         window += (sizes[k + WINDOW] if k + WINDOW < len(sizes) else 0) - sizes[k]
-    threshold = 0 if marked or max(sums, default=0) <= THRESHOLD else THRESHOLD
-    kept, inside = [], False
-    for k, ((text, _, own), size, total) in enumerate(zip(lines, sizes, sums, strict=True)):
-        if not inside and total > threshold and size:
-            inside = True  # surge
-        elif inside and total == 0:
-            inside = False  # dive
-        if inside and text and (own or not marked) and (size or not marked):
+    threshold = THRESHOLD if max(sums, default=0) > THRESHOLD else 0
+    kept, inside, dived = [], False, 0
+    for k, total in enumerate(sums):
+        if total == 0:
+            inside, dived = False, k + 1
+        elif not inside and total > threshold and sizes[k]:
+            inside = True
+            kept += [j for j in range(dived, k) if sizes[j]]
+        if inside and lines[k][0] and (sizes[k] or not marked):
             kept.append(k)
     if kept and not marked:
         own = set(kept)
         kept = [k for k in range(kept[0], kept[-1] + 1) if k in own or sizes[k]]
-    return "\n\n".join(lines[k][0] for k in kept)
+    return kept
+
+
+def main_text(html: str | None) -> str:
+    """Blocks of the main text in page order, joined by an empty line; empty if there is none."""
+    if not html:
+        return ""
+    lines = lines_of(html)
+    return "\n\n".join(lines[k][0] for k in kept_lines(lines))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

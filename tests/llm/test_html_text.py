@@ -1,5 +1,7 @@
 import html as H
+import random
 import re
+import time
 
 from tessera.llm import html_text as X
 from tessera.llm.registry import QUERIES
@@ -23,6 +25,65 @@ def test_pages(spark):
         assert r.text == article(pages[r.page_id]) and r.n_chars == len(r.text)
 
 
+def plain_choice(lines):
+    """The choice of lines as the method says it: stretches between dives, of which those with a surge stay."""
+    marked = any(text and own for text, _, own in lines)
+    size = [(len(text) if own else 0) if marked else plain for text, plain, own in lines]
+    total = [sum(size[k : k + 3]) for k in range(len(lines))]
+    past = 86 if any(x > 86 for x in total) else 0
+    stretches, open_ = [], []
+    for k in range(len(lines) + 1):
+        if k == len(lines) or total[k] == 0:
+            stretches.append(open_)
+            open_ = []
+        else:
+            open_.append(k)
+    kept = []
+    for own in stretches:
+        surge = next((k for k in own if total[k] > past and size[k]), None)
+        if surge is not None:
+            kept += [k for k in own if size[k] or (k >= surge and lines[k][0] and not marked)]
+    if kept and not marked:
+        kept = [k for k in range(kept[0], kept[-1] + 1) if k in kept or size[k]]
+    return kept
+
+
+def test_choice_of_lines_against_a_plain_version(spark):
+    pages = [r.html for r in table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    for page in pages:
+        bare = re.sub("</?article>", "", page)
+        for html in (page, bare):
+            lines = X.lines_of(html)
+            assert X.kept_lines(lines) == plain_choice(lines)
+        assert X.main_text(bare) == X.main_text(page)
+    r = random.Random(1)
+    for _ in range(3000):
+        marked = r.random() < 0.5
+        lines = []
+        for _ in range(r.randint(0, 25)):
+            n = r.choice([0, 0, 0, 3, 30, 100])
+            lines.append(("x" * n, r.choice([0, n]), marked and r.random() < 0.6))
+        assert X.kept_lines(lines) == plain_choice(lines)
+
+
+def test_sums_choose_between_stretches():
+    text = "This paragraph is long enough to make the sums over line blocks surge past the threshold of the method."
+    teaser = "<article><h2>Teaser</h2><p>Short.</p></article>"
+    assert X.main_text(f"{teaser}<article><h1>Title</h1><p>{text}</p><p>End.</p></article>{teaser}{teaser}") == f"Title\n\n{text}\n\nEnd."
+    assert X.main_text(f"<p>Skip this</p><nav>n</nav><h1>Title</h1><p>{text}</p><p>End.</p><form>f</form><p>Made by us.</p>") == f"Title\n\n{text}\n\nEnd."
+    assert X.main_text(f"<main><p>{text}</p><aside>no</aside><aside>no</aside><aside>no</aside><p>Closing.</p></main>") == f"{text}\n\nClosing."
+
+
+def test_nesting_is_linear():
+    for page in (lambda n: "<div>" * n + "x" + "</p></b>" * n, lambda n: "<b>" * n + "<li></li>" * n, lambda n: "<p>" + "<b>" * n + "<div></i>" * n, lambda n: "<ul><li>" * n):
+        took = []
+        for n in (2000, 16000):
+            begin = time.process_time()
+            X.main_text(page(n))
+            took.append(time.process_time() - begin)
+        assert took[1] < 24 * took[0] + 0.2
+
+
 def test_parts():
     t = X.main_text
     assert t(None) == t("") == t("<nav>a</nav>") == t("<p> </p>") == ""
