@@ -1,7 +1,7 @@
 """Deep-shallow sorting of byte strings in groups, with the common prefixes of neighbours.
 
 The shallow phase is a multikey quicksort whose letters are words of eight bytes: all open segments are split by their next
-word at once, and those of one string are done. Segments still open after a few words share a long prefix; the deep phase
+word at once, by numpy's sort in place of partitions around pivots, and those of one string are done. Segments still open after a few words share a long prefix; the deep phase
 puts each of them into a blind trie, which looks at branching letters only and compares each string in full just once.
 After Manzini and Ferragina, "Engineering a Lightweight Suffix Array Construction Algorithm" (2004).
 """

@@ -2,8 +2,8 @@
 
 A byte goes if a string of WIDTH bytes covers it that also starts anywhere else. Suffixes are sampled by content: of the
 hashes of GRAM bytes in every window of WIDTH bytes the smallest is an anchor, so equal windows hold an anchor at the same
-place, and two windows can only be equal if their anchors' grams are. Anchors carry a hash of their surroundings, the bytes
-that all windows with this anchor can reach. Only grams that occur again go on:
+place, and two windows can only be equal if their anchors' grams are. Anchors carry a hash of 128 bits of their surroundings, the
+bytes that all windows with this anchor can reach, which stands for these bytes. Only grams that occur again go on:
 
 - surroundings that occur twice are repeated as a whole, and need no further look;
 - of other surroundings of a repeated gram one each is read, with one for each repeated sort. In a group of one gram the
@@ -31,9 +31,11 @@ from tessera.llm.deep_shallow import sort_groups
 
 WIDTH, GRAM = 200, 64
 #: Kinds of surroundings of one gram that are sorted in one task; bytes scanned at once.
-MOST, BYTES = 20_000, 2_000_000
+MOST, BYTES = 20_000, 1_000_000
+#: Rows of a key that are joined by themselves: more than this and more than a thousandth of all.
+HOT = 10_000
 _LEFT = WIDTH - GRAM
-_ONE, _TWO = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_ONE = 0x9E3779B97F4A7C15
 
 
 class _Sums:
@@ -63,41 +65,60 @@ class _Sums:
         return out
 
 
-def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, place, gram's hash, hash of the surroundings, bytes to the right) of every anchor."""
-    buffer = b"".join(texts)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
-    none = np.zeros(0, np.int64)
-    if len(buffer) < WIDTH:
-        return none, none, none, none, none
-    data = np.frombuffer(buffer, np.uint8)
+def _places(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of joined texts, in order, and the hashes of their grams. Which place of a window is its anchor depends on
+    the window's bytes alone: that of the smallest hash, the last of equal ones."""
     first = _Sums(data, _ONE)
-    places = np.arange(len(data) - GRAM + 1)
-    grams = first.between(places, places + GRAM)
-    # the smallest hash of each window, the last of equal ones, by a sliding minimum of doubled spans
-    low = np.uint64((1 << max(1, int(len(data)).bit_length())) - 1)
-    least, span = (grams & ~low) | (low - places.astype(np.uint64)), 1
+    at = np.arange(len(data) - GRAM + 1, dtype=np.int32)
+    grams = first.between(at, at + GRAM)
+    least, where, span = grams, at, 1  # a sliding minimum of doubled spans
+
+    def lower(by: int) -> tuple[np.ndarray, np.ndarray]:
+        later = least[by:] <= least[:-by]
+        return np.minimum(least[by:], least[:-by]), np.where(later, where[by:], where[:-by])
+
     while 2 * span <= _LEFT + 1:
-        least = np.minimum(least[:-span], least[span:])
+        least, where = lower(span)
         span *= 2
     if rest := _LEFT + 1 - span:
-        least = np.minimum(least[:-rest], least[rest:])
+        least, where = lower(rest)
     change = np.zeros(len(data) + 1, np.int32)
-    long = sizes >= WIDTH
+    long = ends - begins >= WIDTH
     np.add.at(change, begins[long], 1)
     np.add.at(change, ends[long] - WIDTH + 1, -1)
-    inside = np.cumsum(change)[: len(least)] > 0
-    at = (low - (least[inside] & low)).astype(np.int64)
-    if not len(at):
-        return none, none, none, none, none
-    at = at[np.r_[True, at[1:] != at[:-1]]]
-    text = np.searchsorted(ends, at, side="right")
-    start, end = np.maximum(begins[text], at - _LEFT), np.minimum(ends[text], at + WIDTH)
-    around = _Sums(data, _TWO).between(start, end)
-    around ^= (at - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (end - at).astype(np.uint64) * np.uint64(0x165667B19E3779F9)
-    return text, at - begins[text], grams[at].view(np.int64), around.view(np.int64), end - at
+    found = where[np.cumsum(change)[: len(where)] > 0].astype(np.int64)
+    found = found[np.diff(found, prepend=-1) != 0]
+    return found, grams[found].view(np.int64)
+
+
+def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, place, gram's hash, two halves of a hash of the surroundings, bytes to the right) of every anchor."""
+    found: list[tuple[np.ndarray, ...]] = []
+    for a, b in slices([len(x) for x in texts], BYTES):
+        sizes = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
+        if b == a + 1 and sizes[0] > BYTES:  # one long text, in slices that share what a window needs
+            last = -1
+            for start in range(0, len(texts[a]) - WIDTH + 1, BYTES):
+                data = np.frombuffer(texts[a], np.uint8, min(BYTES + WIDTH - 1, len(texts[a]) - start), start)
+                at, gram = _places(data, np.zeros(1, np.int64), np.array([len(data)]))
+                keep = at + start > last
+                at, gram = at[keep] + start, gram[keep]
+                last = int(at[-1]) if len(at) else last
+                found.append((np.full(len(at), a), at, gram))
+        elif sizes.sum() >= WIDTH:
+            ends = np.cumsum(sizes)
+            at, gram = _places(np.frombuffer(b"".join(texts[a:b]), np.uint8), ends - sizes, ends)
+            text = np.searchsorted(ends, at, side="right")
+            found.append((a + text, at - (ends - sizes)[text], gram))
+    if not found:
+        return (np.zeros(0, np.int64),) * 6
+    text, place, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+    size = np.fromiter(map(len, texts), np.int64, len(texts))[text]
+    start, end = np.maximum(0, place - _LEFT), np.minimum(size, place + WIDTH)
+    digest = xxhash.xxh3_128_digest
+    sums = b"".join(digest(texts[t][i:j], p - i) for t, i, j, p in zip(text.tolist(), start.tolist(), end.tolist(), place.tolist(), strict=True))
+    halves = np.frombuffer(sums, np.int64).reshape(-1, 2)
+    return text, place, gram, halves[:, 0], halves[:, 1], end - place
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -108,18 +129,17 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _anchors(keyed: DataFrame) -> DataFrame:
     def make():
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        def apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             ids, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [x.encode() for x in batch.column(2).to_pylist()]
-            parts = []
-            for a, b in slices([len(x) for x in texts], BYTES):
-                text, place, gram, around, right = anchors_of(texts[a:b])
-                parts.append((gram, ids[a + text], ts[a + text], place.astype(np.int32), around, right.astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["gram", "id", "t", "place", "around", "right"]) if parts else None
+            for a, b in slices([len(x) for x in texts], 4 * BYTES):
+                text, place, gram, one, two, right = anchors_of(texts[a:b])
+                columns = (gram, ids[a + text], ts[a + text], place.astype(np.int32), one, two, right.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gram", "id", "t", "place", "around", "around2", "right"])
 
         return apply
 
-    return map_batches(keyed.select("id", "t", "text"), "gram long, id long, t int, place int, around long, right int", make)
+    return map_batches(keyed.select("id", "t", "text"), "gram long, id long, t int, place int, around long, around2 long, right int", make)
 
 
 def _surroundings(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -225,6 +245,17 @@ def _counted_spans(rows: DataFrame) -> DataFrame:
     return windows.where("n = 1").join(again, ["one", "two"]).select("id", "t", "start", (F.col("start") + WIDTH).cast("int").alias("end"))
 
 
+def _of_keys(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """The rows whose keys are in a table of keys with counts. Keys of more than HOT rows and of more than a thousandth of
+    all, of which there are less than a thousand, go to every task, so that no key is dealt out to one."""
+    most = max(HOT, total // 1000)
+    hot = F.broadcast(counted.where(F.col("count") > most).select(keys))
+    if hot.isEmpty():
+        return rows.join(counted.select(keys), keys, "left_semi")
+    others = rows.join(hot, keys, "left_anti").join(counted.where(F.col("count") <= most).select(keys), keys, "left_semi")
+    return rows.join(hot, keys, "left_semi").unionByName(others)
+
+
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST) -> tuple[DataFrame, list[str]]:
     """(id, t, start, end): stretches of repeated windows of the rows of _keyed(), and the tables behind them."""
     spark = docs.sparkSession
@@ -232,17 +263,17 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     places = {x: shared_dir(spark, f"substrings-{x}") for x in ("anchors", "grams", "again", "kinds", "several", "hot", "around", "spans")}
     _anchors(keyed).write.parquet(places["anchors"])
     anchors = spark.read.parquet(places["anchors"])
-    # a written side has its own exchange, so that the join can split a gram of many rows; an aggregate has not
-    anchors.groupBy("gram").count().where("count > 1").select("gram").write.parquet(places["grams"])
-    anchors.join(spark.read.parquet(places["grams"]), "gram", "left_semi").write.parquet(places["again"])
+    total = anchors.count()
+    anchors.groupBy("gram").count().where("count > 1").write.parquet(places["grams"])
+    _of_keys(anchors, spark.read.parquet(places["grams"]), ["gram"], total).write.parquet(places["again"])
     del anchors
     release(spark, places["anchors"], places["grams"])
     again = spark.read.parquet(places["again"])
-    again.groupBy("gram", "around").agg(F.count("*").alias("count"), F.min(F.struct("id", "t", "place", "right")).alias("one")).write.parquet(places["kinds"])
+    again.groupBy("gram", "around", "around2").agg(F.count("*").alias("count"), F.min(F.struct("id", "t", "place", "right")).alias("one")).write.parquet(places["kinds"])
     kinds = spark.read.parquet(places["kinds"])
     # surroundings that occur twice
     left = F.least(F.lit(_LEFT), F.col("place"))
-    whole = again.join(kinds.where("count > 1").select("gram", "around"), ["gram", "around"], "left_semi").where(left + F.col("right") >= WIDTH)
+    whole = _of_keys(again, kinds.where("count > 1"), ["gram", "around", "around2"], total).where(left + F.col("right") >= WIDTH)
     whole = whole.select("id", "t", (F.col("place") - left).cast("int").alias("start"), (F.col("place") + F.col("right")).cast("int").alias("end"))
     # others, in groups of one gram
     kinds.groupBy("gram").count().where("count > 1").write.parquet(places["several"])

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -39,8 +40,9 @@ def brute(texts):
     return out
 
 
-@pytest.mark.parametrize("most", [S.MOST, 3])
-def test_against_brute_force(spark, most):
+@pytest.mark.parametrize(("most", "hot"), [(S.MOST, S.HOT), (3, S.HOT), (S.MOST, 3)])
+def test_against_brute_force(spark, most, hot, monkeypatch):
+    monkeypatch.setattr(S, "HOT", hot)
     r = random.Random(5)
     text = lambda n: "".join(r.choice("abcdefgh éß") for _ in range(n))
     passages = [text(n) for n in (190, 199, 200, 201, 250, 400, 150, 1000)]
@@ -58,6 +60,30 @@ def test_against_brute_force(spark, most):
     assert got == sorted(str((i, *b)) for (i, _), b in zip(rows, brute([(t or "").encode() for _, t in rows]), strict=True))
 
 
+def test_anchors_do_not_depend_on_batches(monkeypatch):
+    """Equal windows have an anchor at the same place, whatever stands before and wherever a text is cut into slices."""
+    r = random.Random(6)
+    text = lambda n, letters=b"ab": bytes(r.choice(letters) for _ in range(n))
+    texts = [text(r.choice([150, 200, 400, 3000]), r.choice([b"a", b"ab", b"abcdefgh"])) for _ in range(40)] + [b"", b"ab" * 500, b"z" * 900]
+    whole = [np.column_stack(x) for x in [S.anchors_of(texts)]][0]
+    for size in (300, 1000, 10**7):
+        monkeypatch.setattr(S, "BYTES", size)
+        assert (np.column_stack(S.anchors_of(texts)) == whole).all()
+        for k, t in enumerate(texts):
+            own = np.column_stack(S.anchors_of([t]))
+            assert (own[:, 1:] == whole[whole[:, 0] == k][:, 1:]).all()
+    for k, t in enumerate(texts[:20]):  # every window of 200 bytes has an anchor whose gram lies in it
+        places = whole[whole[:, 0] == k][:, 1]
+        assert all(((places >= i) & (places <= i + 136)).any() for i in range(len(t) - 199))
+
+
+def test_memory_of_a_long_text():
+    tracemalloc.start()
+    S.anchors_of([random.Random(7).randbytes(8_000_000)])
+    assert tracemalloc.get_traced_memory()[1] < 150_000_000
+    tracemalloc.stop()
+
+
 def test_documents(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     rows = docs.collect()
