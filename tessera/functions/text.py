@@ -63,14 +63,46 @@ def preview(text: Column, chars: int = 100) -> Column:
     return F.translate(F.substring(text, 1, chars), "\n", " ")
 
 
+def short_parts(budget: int) -> tuple[int, int]:
+    """Characters of a text that is over a budget that are kept of its head and of its tail; no tail where the head and the
+    mark between them leave no room."""
+    head = max(params.SHORT_HEAD_MIN, int(budget * params.SHORT_HEAD))
+    tail = budget - head - len(params.SHORT_MARK)
+    return (head, tail) if tail > 0 else (max(0, budget), 0)
+
+
+def short_text(text: str, budget: int) -> str:
+    """compact_doc() of one string."""
+    head, tail = short_parts(budget)
+    return text if len(text) <= budget else text[:head] + (params.SHORT_MARK + text[-tail:] if tail else "")
+
+
 def compact_doc(text: Column, budget: int) -> Column:
     """Head and tail of a text that is over a budget of characters, as a reranker gets it."""
-    if budget <= 0:
-        return F.lit("")
-    head = max(200, int(budget * 0.72))
-    tail = max(0, budget - head - 5)
-    cut = F.concat(F.substring(text, 1, head), F.lit("\n...\n"), F.right(text, F.lit(tail))) if tail else F.substring(text, 1, budget)
-    return F.when(F.length(text) <= budget, text).otherwise(cut)
+    head, tail = short_parts(budget)
+    cut = F.substring(text, 1, head)
+    return F.when(F.length(text) <= budget, text).otherwise(F.concat(cut, F.lit(params.SHORT_MARK), F.right(text, F.lit(tail))) if tail else cut)
+
+
+def head_of(text: Column) -> Column:
+    """What stands before the first empty line."""
+    return strip(F.substring_index(text, "\n\n", 1))
+
+
+def body_of(text: Column) -> Column:
+    """What stands after the first empty line, without line feeds before it; empty if there is no such line."""
+    gap = F.instr(text, "\n\n")
+    return F.when(gap > 0, F.regexp_replace(F.substring(text, gap + 2, F.length(text)), "^\n+", "")).otherwise(F.lit(""))
+
+
+def compact_header(header: Column, parts: int) -> Column:
+    """[doc | a | b | c] with the document and its last parts only; anything else as it is."""
+    line = strip(header)
+    names = F.filter(F.transform(F.split(F.substring(line, F.lit(2), F.length(line) - 2), r"\|"), strip), lambda x: x != "")
+    ends = F.slice(names, F.greatest(F.lit(1), F.size(names) - parts + 1), parts)
+    shown = F.concat(F.slice(names, 1, 1), F.filter(ends, lambda x: x != names[0]))
+    framed = F.startswith(line, F.lit("[")) & F.endswith(line, F.lit("]")) & (F.length(line) >= 2)
+    return F.when(framed & (F.size(names) >= 2), F.concat(F.lit("["), F.array_join(shown, " | "), F.lit("]"))).otherwise(line)
 
 
 def embedding_input(doc: Column, title: Column, context: Column, text: Column) -> Column:
