@@ -45,11 +45,12 @@ def terms(query: Column) -> Column:
 
 
 def exact_bonus(text: Column, query: Column, phrase: float = params.PHRASE_BONUS, term: float = params.TERM_BONUS) -> Column:
-    """Bonus for the query as it stands and for the share of its terms that the text holds; 0 for a query without terms."""
-    folded, words = ascii_lower(text), terms(query)
-    whole = F.when(F.contains(folded, F.lower(strip(query))), phrase).otherwise(0.0)
-    found = F.aggregate(words, F.lit(0), lambda n, x: n + F.when(F.contains(folded, ascii_lower(x)), 1).otherwise(0))
-    return F.when(F.size(words) > 0, whole + F.lit(term) * (found / F.size(words))).otherwise(F.lit(0.0))
+    """Bonus for the query as it stands and for the share of its terms that the text holds; 0 for a query without terms. The
+    text is folded once, for all terms."""
+    words = F.transform(terms(query), ascii_lower)
+    seen = F.transform(F.array(ascii_lower(text)), lambda low: F.struct(F.contains(low, F.lower(strip(query))).alias("whole"), F.size(F.filter(words, lambda x: F.contains(low, x))).alias("hits")))[0]
+    bonus = F.when(seen["whole"], phrase).otherwise(0.0) + F.lit(term) * (seen["hits"] / F.size(words))
+    return F.when(F.size(words) > 0, bonus).otherwise(F.lit(0.0))
 
 
 def candidates(total: Column, limit: int) -> Column:

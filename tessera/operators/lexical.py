@@ -17,12 +17,21 @@ WORDS = 100_000
 
 
 def postings(chunks: DataFrame, tokenize: Tokenize = plain_tokens, key: str = "chunk_id", text: str = "text", words: DataFrame | None = None) -> DataFrame:
-    """(term, chunk_id, tf, positions). The rows of a term are summed in the tasks that made them first. words: a table as
-    words_of() gives it; other terms are left out before anything is summed or shuffled."""
-    rows = chunks.select(F.col(key).alias("chunk_id"), F.posexplode(tokenize(F.col(text))).alias("at", "term"))
+    """(term, chunk_id, tf, dl, positions), dl being the number of tokens of the chunk. The rows of a term are summed in the
+    tasks that made them first. words: a table as words_of() gives it; other terms are left out before anything is summed or
+    shuffled."""
+    cut = chunks.select(F.col(key).alias("chunk_id"), tokenize(F.col(text)).alias("tokens"))
+    rows = cut.select("chunk_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("at", "term"))
     if words is not None:
         rows = rows.join(F.broadcast(words), "term", "left_semi")
-    return rows.groupBy("term", "chunk_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    return rows.groupBy("term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+
+
+def merge_postings(index: DataFrame, changed: DataFrame, gone: DataFrame, tokenize: Tokenize = plain_tokens) -> DataFrame:
+    """The index after a merge of chunks: postings of chunks that are new or changed (chunk_id, text) are made anew, those of
+    chunks that are gone (chunk_id) drop out, all others stay as they are stored."""
+    away = changed.select("chunk_id").unionByName(gone.select("chunk_id")).distinct()
+    return index.join(away, "chunk_id", "left_anti").select(index.columns).unionByName(postings(changed, tokenize))
 
 
 def words_of(queries: DataFrame, tokenize: Tokenize = plain_tokens, qid: str = "qid", query: str = "query", most: int = WORDS) -> DataFrame | None:
@@ -46,32 +55,39 @@ def phrases(queries: DataFrame, tokenize: Tokenize = plain_tokens, qid: str = "q
 
 
 def phrase_hits(wanted: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, phrase_no, phrases, chunk_id, tf) of phrases as phrases() gives them: tokens side by side, in order."""
+    """(qid, phrase_no, phrases, chunk_id, dl, tf) of phrases as phrases() gives them: tokens side by side, in order."""
     one = wanted.where(F.size("tokens") == 1).select("qid", "phrase_no", "phrases", F.col("tokens")[0].alias("term"))
-    single = one.join(index, "term").select("qid", "phrase_no", "phrases", "chunk_id", "tf")
+    single = one.join(index, "term").select("qid", "phrase_no", "phrases", "chunk_id", "dl", "tf")
     parts = wanted.where(F.size("tokens") > 1).select("qid", "phrase_no", "phrases", F.size("tokens").alias("parts"), F.posexplode("tokens").alias("k", "term"))
-    places = parts.join(index, "term").select("qid", "phrase_no", "phrases", "parts", "chunk_id", "k", F.explode("positions").alias("at"))
-    starts = places.groupBy("qid", "phrase_no", "phrases", "parts", "chunk_id", (F.col("at") - F.col("k")).alias("start")).agg(F.countDistinct("k").alias("n")).where("n = parts")
-    return single.unionByName(starts.groupBy("qid", "phrase_no", "phrases", "chunk_id").agg(F.count("*").cast("int").alias("tf")))
+    places = parts.join(index, "term").select("qid", "phrase_no", "phrases", "parts", "chunk_id", "dl", "k", F.explode("positions").alias("at"))
+    starts = places.groupBy("qid", "phrase_no", "phrases", "parts", "chunk_id", "dl", (F.col("at") - F.col("k")).alias("start")).agg(F.countDistinct("k").alias("n")).where("n = parts")
+    return single.unionByName(starts.groupBy("qid", "phrase_no", "phrases", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf")))
+
+
+def totals(sizes: DataFrame) -> DataFrame:
+    """One row (total, mean): how many chunks there are, and their mean number of tokens."""
+    return sizes.agg(F.count("*").alias("total"), F.avg("dl").alias("mean"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, sizes: DataFrame, limit: int | Column | None = None, tokenize: Tokenize = plain_tokens, qid: str = "qid", query: str = "query") -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame, sizes: DataFrame, limit: int | Column | None = None, tokenize: Tokenize = plain_tokens, qid: str = "qid", query: str = "query", most: int | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank): chunks that hold all phrases of a query, by BM25 and then id. A repeated term counts
-    again. limit: rows of each query, or a column of the queries that says so."""
+    again. sizes: what lengths() or totals() gives. limit: rows of each query, or a column of the queries that says so, with
+    `most` as its bound: then no more rows of a query than that are sorted together."""
     own = queries if qid == "qid" else queries.withColumnRenamed(qid, "qid")
     hits = phrase_hits(phrases(own, tokenize, "qid", query), index)
-    corpus = sizes.agg(F.count("*").alias("total"), F.avg("dl").alias("mean"))
+    corpus = totals(sizes) if "dl" in sizes.columns else sizes
     found = hits.groupBy("qid", "phrase_no").agg(F.count("*").alias("df"))
     n, df = F.col("total"), F.col("df")
     idf = F.log((n - df + 0.5) / (df + 0.5))
     weight = F.when(idf > 0, idf).otherwise(F.lit(params.IDF_FLOOR))
     tf, k1, b = F.col("tf"), params.BM25_K1, params.BM25_B
     part = weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    scored = hits.join(found, ["qid", "phrase_no"]).join(sizes, "chunk_id").join(F.broadcast(corpus)).select("qid", "chunk_id", "phrases", part.alias("part"))  # one row of totals
+    scored = hits.join(found, ["qid", "phrase_no"]).join(F.broadcast(corpus)).select("qid", "chunk_id", "phrases", part.alias("part"))  # one row of totals
     whole = scored.groupBy("qid", "chunk_id", "phrases").agg(F.count("*").alias("n"), F.sum("part").alias("score")).where("n = phrases")
     ranked = whole.select("qid", "chunk_id", "score", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")).alias("rank"))
-    if limit is None:
+    bound = limit if isinstance(limit, int) else most
+    if bound is not None:
+        ranked = ranked.where(F.col("rank") <= bound)
+    if limit is None or isinstance(limit, int):
         return ranked
-    if isinstance(limit, int):
-        return ranked.where(F.col("rank") <= limit)
     return ranked.join(own.select("qid", limit.alias("_limit")), "qid").where("rank <= _limit").drop("_limit")

@@ -67,9 +67,15 @@ def chunks(docs: DataFrame, target: int = params.CHUNK_WORDS, doc: str = "doc",
 
 
 def with_section(chunks_: DataFrame, sections_: DataFrame) -> DataFrame:
-    """Chunks with the section of their first line; none before the first heading. An end of null or 0 is open."""
-    s = sections_.select(F.col("doc").alias("_doc"), "section_no", "title", F.col("start_line").alias("_from"), F.coalesce(F.nullif("end_line", F.lit(0)), F.lit(2**31 - 1)).alias("_to"))
-    return chunks_.join(s, (F.col("doc") == F.col("_doc")) & F.col("start_line").between(F.col("_from"), F.col("_to")), "left").drop("_doc", "_from", "_to")
+    """Chunks with the section of their first line; none before the first heading. An end of null or 0 is open. Headings and
+    chunks of a document stand in one order, in which each chunk takes the last heading before it."""
+    end = F.coalesce(F.nullif("end_line", F.lit(0)), F.lit(2**31 - 1)).alias("end")
+    heads = sections_.select("doc", F.col("start_line").alias("_at"), F.lit(0).alias("_kind"), F.struct("section_no", "title", end).alias("_section"))
+    rows = chunks_.select("doc", F.col("start_line").alias("_at"), F.lit(1).alias("_kind"), F.struct(*chunks_.columns).alias("_chunk"))
+    order = Window.partitionBy("doc").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = heads.unionByName(rows, allowMissingColumns=True).withColumn("_s", F.last("_section", ignorenulls=True).over(order)).where("_kind = 1")
+    inside = F.col("_at") <= F.col("_s.end")
+    return found.select("_chunk.*", *(F.when(inside, F.col(f"_s.{x}")).alias(x) for x in ("section_no", "title")))
 
 
 def neighbours(chunks_: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that go to the tasks at once.
-BLOCK = 2048
+#: Numbers in the queries of one scan (64 MB); queries scored at once; rows that a task holds before it cuts them down.
+NUMBERS, AT_ONCE, HELD = 8_000_000, 256, 2_000_000
 
 
 def valid(embedding: Column, dim: int) -> Column:
@@ -37,13 +37,53 @@ def normalized(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     return vectors.where(size > 0).withColumn(embedding, F.transform(e, lambda x: x / size).cast("array<float>"))
 
 
-def _blocks(queries: DataFrame, qid: str, embedding: str) -> Iterator[list]:
-    rows = []
+class _Best:
+    """The best k of each query among the vectors seen: what may still be among them is held, and cut down from time to time."""
+
+    def __init__(self, queries: np.ndarray, numbers: np.ndarray, k: int):
+        self.queries, self.numbers, self.k = queries, numbers, k
+        self.least = np.full(len(queries), -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def see(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        for a in range(0, len(self.queries), AT_ONCE):
+            scores, least = self.queries[a : a + AT_ONCE] @ vectors.T, self.least[a : a + AT_ONCE]
+            if len(ids) > self.k:  # the k-th of these is no better than the k-th of all
+                np.maximum(least, np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k], out=least)
+            row, column = np.nonzero(scores >= least[:, None])
+            self.held.append((row + a, ids[column], scores[row, column]))
+            self.size += len(row)
+            if self.size > HELD and len(self.held) > 1:
+                self.cut()
+
+    def cut(self) -> None:
+        row, ids, scores = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((-ids, -scores, row))
+        row, ids, scores = row[order], ids[order], scores[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.k - 1
+        self.least[row[last]] = scores[last]
+        keep = place < self.k
+        self.held, self.size = [(row[keep], ids[keep], scores[keep])], int(keep.sum())
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self.cut()
+            row, ids, scores = self.held[0]
+            for at in range(0, len(row), 1_000_000):
+                part = slice(at, at + 1_000_000)
+                yield pa.RecordBatch.from_arrays([pa.array(self.numbers[row[part]], pa.int32()), pa.array(ids[part], pa.int64()), pa.array(scores[part])], ["i", "chunk_id", "score"])
+
+
+def _loads(queries: DataFrame, qid: str, embedding: str) -> Iterator[list]:
+    rows, numbers = [], 0
     for r in queries.where(F.col(embedding).isNotNull()).select(qid, embedding).toLocalIterator():
         rows.append((r[0], r[1]))
-        if len(rows) == BLOCK:
+        numbers += len(r[1])
+        if numbers >= NUMBERS:
             yield rows
-            rows = []
+            rows, numbers = [], 0
     if rows:
         yield rows
 
@@ -51,56 +91,48 @@ def _blocks(queries: DataFrame, qid: str, embedding: str) -> Iterator[list]:
 def top_k(queries: DataFrame, vectors: DataFrame, k: int | Column, most: int | None = None, qid: str = "qid", query_embedding: str = "q_emb", key: str = "chunk_id", embedding: str = "embedding") -> DataFrame:
     """(qid, chunk_id, score, rank): the k nearest vectors of each query, by cosine and then id, both descending.
 
-    Blocks of queries go to the tasks, where a matrix product scores each batch of vectors and only the best k of the task
-    leave. Vectors of another dimension, null or of length zero are no candidates; a zero query finds nothing.
+    The queries go to the tasks, where matrix products score each batch of vectors in one scan, and only the best k of a task
+    leave. A set of queries that holds more than NUMBERS numbers takes a scan for each such load. Vectors of another
+    dimension, null or of length zero are no candidates; a zero query finds nothing.
     k: a number, or a column over the queries with `most` as its bound.
     """
     bound = k if isinstance(k, int) else most
-    kind = queries.schema[qid].dataType.simpleString()
+    kind, spark = queries.schema[qid].dataType.simpleString(), queries.sparkSession
     out = None
-    for rows in _blocks(queries, qid, query_embedding):
-
-        def run(batches: Iterator[pa.RecordBatch], rows: list = rows) -> Iterator[pa.RecordBatch]:
-            by_dim: dict[int, tuple[list[int], np.ndarray]] = {}
-            for dim in {len(e) for _, e in rows}:
-                own = [i for i, (_, e) in enumerate(rows) if len(e) == dim]
-                matrix = np.array([rows[i][1] for i in own], np.float64)
-                size = np.sqrt((matrix * matrix).sum(1))
-                by_dim[dim] = [i for i, s in zip(own, size, strict=True) if s > 0], matrix[size > 0] / size[size > 0, None]
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for rows in _loads(queries, qid, query_embedding) if bound > 0 else ():
+        by_dim = {}
+        for dim in {len(e) for _, e in rows}:
+            own = np.array([i for i, (_, e) in enumerate(rows) if len(e) == dim])
+            matrix = np.array([rows[i][1] for i in own], np.float64)
+            size = np.sqrt((matrix * matrix).sum(1))
+            if (size > 0).any():
+                by_dim[dim] = matrix[size > 0] / size[size > 0, None], own[size > 0]
+        shared = spark.sparkContext.broadcast(by_dim)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best = {dim: _Best(*own, bound) for dim, own in shared.value.items()}
             for batch in batches:
                 lists = batch.column(1)
-                sizes = np.diff(lists.offsets.to_numpy())
+                starts, sizes = lists.offsets.to_numpy()[:-1], np.diff(lists.offsets.to_numpy())
                 filled = lists.is_valid().to_numpy(zero_copy_only=False)
-                flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                starts = lists.offsets.to_numpy()[:-1]
-                ids = batch.column(0).to_numpy()
-                for dim, (own, matrix) in by_dim.items():
+                flat, ids = lists.values.to_numpy(zero_copy_only=False), batch.column(0).to_numpy()
+                for dim, own in best.items():
                     at = np.flatnonzero(filled & (sizes == dim))
-                    if not len(at) or not len(own):
-                        continue
-                    part = flat[starts[at, None] + np.arange(dim)]
+                    part = flat[starts[at, None] + np.arange(dim)].astype(np.float64)
                     norms = np.sqrt((part * part).sum(1))
                     good = np.isfinite(norms) & (norms > 0)
-                    part, names = part[good] / norms[good, None], ids[at[good]]
-                    for i, scores in zip(own, matrix @ part.T, strict=True):
-                        if i in best:
-                            scores, found = np.concatenate([best[i][0], scores]), np.concatenate([best[i][1], names])
-                        else:
-                            found = names
-                        order = np.lexsort((-found, -scores))[:bound]
-                        best[i] = scores[order], found[order]
-            if best:
-                number = np.repeat(list(best), [len(x) for x, _ in best.values()])
-                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(np.concatenate([x for _, x in best.values()]), pa.int64()), pa.array(np.concatenate([x for x, _ in best.values()]))], ["i", "chunk_id", "score"])
+                    if good.any():
+                        own.see(part[good] / norms[good, None], ids[at[good]])
+            for own in best.values():
+                yield from own.rows()
 
         found = vectors.select(F.col(key).cast("long").alias("chunk_id"), F.col(embedding).alias("e")).where("e is not null").mapInArrow(run, "i int, chunk_id long, score double")
-        names = queries.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"i int, qid {kind}")
-        part = found.join(F.broadcast(names), "i").select("qid", "chunk_id", "score")  # one block of queries
+        names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"i int, qid {kind}")
+        part = found.join(F.broadcast(names), "i").select("qid", "chunk_id", "score")  # one load of queries
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return queries.sparkSession.createDataFrame([], f"qid {kind}, chunk_id long, score double, rank int")
-    ranked = out.select("*", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("chunk_id"))).alias("rank"))
+        return spark.createDataFrame([], f"qid {kind}, chunk_id long, score double, rank int")
+    ranked = out.select("*", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("chunk_id"))).alias("rank")).where(F.col("rank") <= bound)
     if isinstance(k, int):
-        return ranked.where(F.col("rank") <= k)
-    return ranked.where(F.col("rank") <= bound).join(queries.select(F.col(qid).alias("qid"), k.alias("_k")), "qid").where("rank <= _k").drop("_k")
+        return ranked
+    return ranked.join(queries.select(F.col(qid).alias("qid"), k.alias("_k")), "qid").where("rank <= _k").drop("_k")

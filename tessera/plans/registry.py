@@ -166,20 +166,15 @@ def bm25_porter(spark, d):
     return lexical.bm25(own, lexical.postings(rows, porter_tokens, words=lexical.words_of(own, porter_tokens)), lexical.lengths(rows, porter_tokens), 50, porter_tokens).select("qid", "chunk_id", *long("rank"), six("score"))
 
 
-@query(r"""WITH q AS (SELECT item_id AS qid, text AS query, list_filter(regexp_extract_all(text, '[a-zA-Z0-9_-]+'), lambda x: length(x) >= 2)[1:3] AS t FROM benchmark WHERE item_id < 5)
-SELECT qid, doc_id, round(CASE WHEN len(t) > 0 THEN CASE WHEN contains(low, lower(array_to_string(t, ' '))) THEN 0.3::DOUBLE ELSE 0 END + 0.15::DOUBLE * (len(list_filter(t, lambda x: contains(low, lower(x)))) / len(t)) ELSE 0 END, 6)::DOUBLE AS bonus
-FROM q, (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)""")
+@query(with_("vectors", "queries", "lex", "near") + r""", q AS (SELECT item_id AS qid, text AS query, list_filter(regexp_extract_all(text, '[a-zA-Z0-9_-]+'), lambda x: length(x) >= 2) AS t FROM benchmark)
+SELECT n.qid, n.chunk_id, round(CASE WHEN len(t) > 0 THEN CASE WHEN contains(low, lower(trim(query))) THEN 0.3::DOUBLE ELSE 0 END + 0.15::DOUBLE * (len(list_filter(t, lambda x: contains(low, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) / len(t)) ELSE 0 END, 6)::DOUBLE AS bonus
+FROM near n JOIN q USING (qid) JOIN (SELECT doc_id AS chunk_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents) USING (chunk_id) WHERE n.rank <= 20""")
 def exact_bonus(spark, d):
-    """The bonus of five stated queries in every document."""
-    q = table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("qid"), F.array_join(F.slice(T.terms(F.col("text")), 1, 3), " ").alias("query"))
-    return table(spark, d, "documents").join(F.broadcast(q)).select("qid", "doc_id", F.round(T.exact_bonus(F.col("text"), F.col("query")), 6).alias("bonus"))
-
-
-@query()
-def exact_bonus_all(spark, d):
-    """The bonus of every item of the benchmark, with its whole text, in every document."""
+    """The bonus of every item of the benchmark, with its whole text, in its candidates: twice as many as a search shows."""
+    near = vector.top_k(views.queries(spark, d), views.vectors(spark, d), 20).select("qid", "chunk_id")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return table(spark, d, "documents").join(F.broadcast(q)).select("qid", "doc_id", F.round(T.exact_bonus(F.col("text"), F.col("query")), 6).alias("bonus"))
+    rows = near.join(q, "qid").join(views.lex_chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    return rows.select("qid", "chunk_id", F.round(T.exact_bonus(F.col("text"), F.col("query")), 6).alias("bonus"))
 
 
 # Fusion and hybrid search
@@ -191,15 +186,16 @@ def _sides(spark, d):
     chunks_, own = views.lex_chunks(spark, d), views.queries(spark, d)
     sized = ranking.sizes_for(own, chunks_, 10)
     near = vector.top_k(sized, views.vectors(spark, d), F.col("n_candidates"), 1500)
-    counts = near.groupBy("qid").agg(F.count("*").alias("n_vector"))
-    return own, chunks_, near, lexical.bm25(sized.join(counts, "qid"), lexical.postings(chunks_, words=lexical.words_of(own)), lexical.lengths(chunks_), F.col("n_vector"))
+    return own, chunks_, near, lexical.bm25(own, lexical.postings(chunks_, words=lexical.words_of(own)), lexical.lengths(chunks_), 1500)
 
 
 @query(with_(*_SEARCH) + """SELECT qid, chunk_id, round(score, 6)::DOUBLE AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, list, rank) AS rank FROM (
   SELECT qid, chunk_id, sum(1.0::DOUBLE / (20 + rank)) AS score, min(list) AS list, arg_min(rank, list) AS rank FROM (
     SELECT qid, chunk_id, rank, 0 AS list FROM candidates UNION ALL SELECT qid, chunk_id, rank, 1 FROM side) GROUP BY ALL)""")
 def rrf(spark, d):
-    _, _, near, found = _sides(spark, d)
+    own, chunks_, near, _ = _sides(spark, d)
+    counts = near.groupBy("qid").agg(F.count("*").alias("n_vector"))
+    found = lexical.bm25(own.join(counts, "qid"), lexical.postings(chunks_, words=lexical.words_of(own)), lexical.lengths(chunks_), F.col("n_vector"), most=1500)
     return ranking.rrf([near, found]).select("qid", "chunk_id", *long("rank"), six("score"))
 
 
@@ -348,12 +344,15 @@ def stale_judgments(spark, d):
     return evaluation.stale(stored, own)
 
 
-@query("SELECT round(median(value), 6)::DOUBLE AS p50, round(list_sort(list(value))[CASE WHEN count(value) >= 20 THEN floor(count(value) * 0.95)::BIGINT + 1 ELSE count(value) END], 6)::DOUBLE AS p95 FROM events WHERE user_id = 1 AND value IS NOT NULL")
+_P95 = "round(median(value), 6)::DOUBLE AS p50, round(list_sort(list(value))[CASE WHEN count(value) >= 20 THEN floor(count(value) * 0.95)::BIGINT + 1 ELSE count(value) END], 6)::DOUBLE AS p95"
+
+
+@query(f"SELECT event_type, {_P95} FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def latency_percentiles(spark, d):
-    return evaluation.latency(table(spark, d, "events").where("user_id = 1 and value is not null"), "value").select(six("p50"), six("p95"))
+    return evaluation.latency(table(spark, d, "events"), "value", ("event_type",)).select("event_type", six("p50"), six("p95"))
 
 
-@query("SELECT user_id, round(median(value), 6)::DOUBLE AS p50, round(list_sort(list(value))[CASE WHEN count(value) >= 20 THEN floor(count(value) * 0.95)::BIGINT + 1 ELSE count(value) END], 6)::DOUBLE AS p95 FROM events WHERE value IS NOT NULL GROUP BY user_id")
+@query(f"SELECT user_id, {_P95} FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def latency_by_user(spark, d):
     return evaluation.latency(table(spark, d, "events"), "value", ("user_id",)).select("user_id", six("p50"), six("p95"))
 
@@ -393,12 +392,12 @@ def merged_chunks(spark, d):
 @query(_MERGE.replace("plan AS (", "unusedplan AS (") + """SELECT p.doc, count(*) AS chunks, sum(length(p.text))::BIGINT AS text_size, count(*) FILTER (p.start_line % 3 = 0) AS embedded, count(*) FILTER (p.start_line % 2 = 0) AS contextualized,
   count(*) >= count(*) - 1 AS complete, CASE WHEN count(*) FILTER (p.start_line % 3 = 0) >= count(*) - 1 THEN 'ready'
   WHEN count(*) FILTER (p.start_line % 2 = 0) < count(*) - 1 THEN 'context ' || CASE WHEN least(99, round_even(count(*) FILTER (p.start_line % 2 = 0) / (count(*) - 1) * 100, 0)) < 0 THEN 0 ELSE least(99, round_even(count(*) FILTER (p.start_line % 2 = 0) / (count(*) - 1) * 100, 0))::INT END || '%' ELSE 'embed' END AS label
-FROM planned p GROUP BY p.doc HAVING count(*) > 1""")
+FROM planned p GROUP BY p.doc""".replace("count(*) - 1", "greatest(count(*) - 1, 1)"))
 def doc_status(spark, d):
     md = views.markdown(spark, d)
     rows = structure.chunks(md).withColumn("chunk_id", F.xxhash64("doc", "start_line")).withColumn("embedding", F.when(F.col("start_line") % 3 == 0, F.array(F.lit(1.0))))
-    counted = rows.groupBy("doc").agg((F.count("*") - 1).alias("expected_chunks"))
-    return maintenance.status(counted, rows, rows.where("start_line % 2 = 0").select("chunk_id")).where("chunks > 1").select("doc", "chunks", "text_size", "embedded", "contextualized", "complete", "label")
+    counted = rows.groupBy("doc").agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("expected_chunks"))
+    return maintenance.status(counted, rows, rows.where("start_line % 2 = 0").select("chunk_id")).select("doc", "chunks", "text_size", "embedded", "contextualized", "complete", "label")
 
 
 @query("SELECT source, left(sha256(source || chr(10) || lang || chr(10) || 'chunk-text.v1'), 16) AS signature FROM documents GROUP BY source, lang")
@@ -417,27 +416,11 @@ def pending(spark, d):
     return maintenance.pending(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").select("doc_id")
 
 
-_CACHE = """WITH c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, vec_id * 10 AS created_at, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS model, 50 + vec_id % 3 * 50 AS n FROM embeddings WHERE vec_id < 200),
-q AS (SELECT vec_id AS qid, list_transform(embedding::DOUBLE[], lambda x: x + 0.01::DOUBLE) AS e FROM embeddings WHERE vec_id < 100),
-s AS (SELECT qid, id, list_inner_product(q.e, c.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(c.e, c.e)) + 1e-9) AS sim FROM q, c WHERE model = 'a' AND created_at > 400 AND n >= 100)
-"""
-
-
-@query(_CACHE + "SELECT qid, id, round(sim, 6)::DOUBLE AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS r FROM s) WHERE r = 1 AND sim >= 0.92")
-def cache_lookup(spark, d):
-    """A hundred stated queries against a cache of two hundred entries, which is the feature's bound."""
-    vecs = table(spark, d, "embeddings")
-    doubles = F.transform("embedding", lambda x: x.cast("double"))
-    entries = vecs.where("vec_id < 200").select(F.col("vec_id").alias("id"), doubles.alias("embedding"), F.array().cast("array<struct<chunk_id:long,score:double>>").alias("vector_results"), (F.col("vec_id") * 10.0).alias("created_at"), F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("model"), (F.lit(50) + F.col("vec_id") % 3 * 50).cast("int").alias("candidate_count"))
-    own = vecs.where("vec_id < 100").select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double") + 0.01).alias("q_emb"), F.lit(100).alias("min_candidates"))
-    return cache.probe(own, entries, 1000.0, "a", ttl=600.0).select("qid", "id", six("similarity"))
-
-
 @query("""WITH c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, vec_id * 10 % 7200 AS created_at, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS model, 50 + vec_id % 3 * 50 AS n FROM embeddings ORDER BY created_at DESC, id DESC LIMIT 500),
 q AS (SELECT vec_id AS qid, list_transform(embedding::DOUBLE[], lambda x: x + 0.01::DOUBLE) AS e FROM embeddings),
 s AS (SELECT qid, id, list_inner_product(q.e, c.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(c.e, c.e)) + 1e-9) AS sim FROM q, c WHERE model = 'a' AND created_at > 3600 AND n >= 100)
 SELECT qid, id, round(sim, 6)::DOUBLE AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS r FROM s) WHERE r = 1 AND sim >= 0.92""")
-def cache_lookup_all(spark, d):
+def cache_lookup(spark, d):
     """Every vector as a query against a cache filled to its bound with the newest."""
     vecs = table(spark, d, "embeddings")
     made = vecs.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.array().cast("array<struct<chunk_id:long,score:double>>").alias("vector_results"), (F.col("vec_id") * 10.0 % 7200).alias("created_at"), F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("model"), (F.lit(50) + F.col("vec_id") % 3 * 50).cast("int").alias("candidate_count"))
