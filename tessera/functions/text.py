@@ -118,5 +118,5 @@ def progress(done: Column, total: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    of = lambda unit: F.format_number(size / unit, "0.0")
+    of = lambda unit: F.format_string("%.1f", F.bround(size / unit, 1))
     return F.when(size == 0, "-").when(size >= 1 << 20, F.concat(of(1 << 20), F.lit(" MB"))).when(size >= 1 << 10, F.concat(of(1 << 10), F.lit(" KB"))).otherwise(F.concat(size.cast("string"), F.lit(" B")))

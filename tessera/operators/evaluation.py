@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import params
+from tessera.functions import text as T
 
 SHOWN = ("ndcg", "mrr", "precision", "map", "recall", "hit_rate", "doc_coverage", "subtopic_recall", "alpha_ndcg")
 
@@ -122,6 +126,60 @@ def unjudged(pool: DataFrame, qrels: DataFrame) -> DataFrame:
     return pool.join(qrels.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
 
 
+class Unjudged(ValueError):
+    """Results hold chunks without a judgment."""
+
+
+def strict(results: DataFrame, qrels: DataFrame, shown: int = 5) -> DataFrame:
+    """The judgments, if they cover all results; else Unjudged, which counts what is missing and names a few of it."""
+    missing = unjudged(results, qrels).select("qid", "chunk_id").distinct()
+    if n := missing.count():
+        some = ", ".join(f"{r['qid']}/{r['chunk_id']}" for r in missing.orderBy("qid", "chunk_id").limit(shown).collect())
+        raise Unjudged(f"{n} results without a judgment, such as {some}")
+    return qrels
+
+
+def autofilled(results: DataFrame, qrels: DataFrame, chunks: DataFrame, queries: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The judgments (qid, chunk_id, score, subtopics, auto_filled), and for results without one what `judge` says of the
+    pairs (qid, chunk_id, query, text). Chunks that are not there stay unjudged. Unlike a pool, only results are judged."""
+    pairs = unjudged(results, qrels).select("qid", "chunk_id").distinct().join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("qid", "query"), "qid")
+    own = ("qid", "chunk_id", "score", "subtopics")
+    return qrels.select(*own, F.lit(False).alias("auto_filled")).unionByName(judge(pairs.select("qid", "chunk_id", "query", "text")).select(*own, F.lit(True).alias("auto_filled")))
+
+
+#: Queries of each category in a portfolio, and the terms that one of them takes of its text.
+PORTFOLIO = {"exact_lookup": (6, 2), "conceptual": (6, 6), "cross_doc": (8, 8), "natural": (6, 7), "negative": (4, 3)}
+
+
+def portfolio(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """(qid, query, category): thirty queries made from the first texts by id, as many of each category as PORTFOLIO says.
+    Those of the category negative ask for terms spelled backwards, which no text holds."""
+    bounds, first = [], 1
+    for category, (n, terms) in PORTFOLIO.items():
+        bounds.append((category, first, first + n - 1, terms))
+        first += n
+    taken = items.orderBy(key).limit(first - 1)  # the feature's thirty rows
+    rows = taken.select(F.col(text).alias("text"), F.row_number().over(Window.orderBy(key)).alias("n"))
+    pick = lambda value: F.coalesce(*(F.when(F.col("n").between(a, b), F.lit(value(c, t))) for c, a, b, t in bounds))
+    words = F.slice(T.terms(F.col("text")), F.lit(1), pick(lambda c, t: t))
+    asked = F.when(pick(lambda c, t: c) == "negative", F.transform(words, F.reverse)).otherwise(words)
+    return rows.select(F.format_string("q%02d", "n").alias("qid"), F.array_join(asked, " ").alias("query"), pick(lambda c, t: c).alias("category"))
+
+
+def probe(embed: Callable[[str], object], search: Callable[[str, object], object], queries: list[str], clock: Callable[[], float] = time.perf_counter) -> list[dict[str, float]]:
+    """Milliseconds of embedding, of searching and of both, for each of a few queries one after another. `search` must have
+    its result when it returns, so it collects it."""
+    out = []
+    for query in queries:
+        begun = clock()
+        vector = embed(query)
+        embedded = clock()
+        search(query, vector)
+        done = clock()
+        out.append({"embed_ms": 1000 * (embedded - begun), "search_ms": 1000 * (done - embedded), "total_ms": 1000 * (done - begun)})
+    return out
+
+
 def stale(stored: DataFrame, queries: DataFrame) -> DataFrame:
     """Stored judgments whose query text or category is no longer the same."""
     return stored.join(queries.select("qid", "query", "category"), ["qid", "query", "category"], "left_anti")

@@ -36,13 +36,50 @@ def merge_chunks(existing: DataFrame, planned: DataFrame) -> DataFrame:
     return joined.select("chunk_id", "doc", "start_line", *content, "section_no", F.when(same, F.col("embedding")).alias("embedding"), (~same).alias("changed"))
 
 
-def numbered(merged: DataFrame, first: int) -> DataFrame:
-    """Gives new chunks ids from a number on. New chunks are counted by document, so no task holds more than a document."""
-    new = merged.where("chunk_id is null")
-    counts = new.groupBy("doc").agg(F.count("*").alias("n"))
-    before = counts.select("doc", (F.sum("n").over(Window.orderBy("doc")) - F.col("n")).alias("_before"))  # a row a document
-    named = new.join(before, "doc").withColumn("chunk_id", (F.lit(first) + F.col("_before") + F.row_number().over(Window.partitionBy("doc").orderBy("start_line")) - 1).cast("long")).drop("_before")
-    return merged.where("chunk_id is not null").unionByName(named)
+#: Groups in which new rows are counted.
+GROUPS = 1024
+
+
+def numbered(merged: DataFrame, first: int, name: str = "chunk_id", keys: tuple[str, ...] = ("doc", "start_line")) -> DataFrame:
+    """Gives rows without an id consecutive ones from a number on. They are dealt into GROUPS by a hash of their first key and
+    counted there, so that a row for each group, and no more, comes to one task."""
+    new = merged.where(F.col(name).isNull()).withColumn("_g", F.pmod(F.xxhash64(keys[0]), F.lit(GROUPS)))
+    counts = new.groupBy("_g").agg(F.count("*").alias("n"))
+    before = counts.select("_g", (F.sum("n").over(Window.orderBy("_g")) - F.col("n")).alias("_before"))  # GROUPS rows at most
+    place = F.row_number().over(Window.partitionBy("_g").orderBy(*keys))
+    named = new.join(F.broadcast(before), "_g").withColumn(name, (F.lit(first) + F.col("_before") + place - 1).cast("long")).drop("_g", "_before")
+    return merged.where(F.col(name).isNotNull()).unionByName(named)
+
+
+def merge_sections(existing: DataFrame, planned: DataFrame) -> DataFrame:
+    """The sections after a merge: those planned, with the section_id of the existing section of the same document and first
+    line, of several the smallest; null for new ones, which numbered() names. A changed title, level or end keeps the id."""
+    old = existing.groupBy("doc", "start_line").agg(F.min("section_id").alias("section_id"))
+    new = keep_first(planned, ["doc", "start_line"], ["section_no"])
+    return new.join(old, ["doc", "start_line"], "left").select("section_id", *planned.columns)
+
+
+def upsert_documents(existing: DataFrame, arrived: DataFrame) -> DataFrame:
+    """(doc, path, line_count, expected_chunks, created_at) after documents arrived: what they say replaces what was known of
+    them but for the time of creation; the others stay. Of rows that arrive for one document the one with the most lines
+    counts."""
+    new = keep_first(arrived, ["doc"], [F.desc("line_count"), "path"]).select("doc", *(F.col(x).alias(f"_{x}") for x in ("path", "line_count", "expected_chunks", "created_at")), F.lit(True).alias("_new"))
+    both = existing.join(new, "doc", "full_outer")
+    value = lambda x: F.when(F.col("_new"), F.col(f"_{x}")).otherwise(F.col(x)).alias(x)
+    return both.select("doc", *(value(x) for x in ("path", "line_count", "expected_chunks")), F.coalesce("created_at", "_created_at").alias("created_at"))
+
+
+def listed(files: DataFrame, states: DataFrame) -> DataFrame:
+    """(name, size, size_label, label, ready) of files as discover() finds them, with the state of those that are indexed;
+    the others are pending."""
+    own = states.select(F.col("doc").alias("name"), "label")
+    label = F.coalesce("label", F.lit("pending"))
+    return files.select("name", "size").join(own, "name", "left").select("name", "size", T.size_label(F.col("size")).alias("size_label"), label.alias("label"), (label == "ready").alias("ready"))
+
+
+def ready(rows: DataFrame) -> DataFrame:
+    """One row (ready, total) of what listed() gives."""
+    return rows.agg(F.count_if("ready").alias("ready"), F.count("*").alias("total"))
 
 
 def merge_contexts(contexts: DataFrame, merged: DataFrame) -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import params, plugins
+from tessera.functions import judgments, tokens
 from tessera.functions import text as T
 from tessera.functions.porter import porter_tokens
 from tessera.operators import cache, evaluation, lexical, maintenance, ranking, structure, vector
 from tessera.plans import views
 from tessera.plans.views import with_
-from tessera.session import table
+from tessera.session import scratch, table
+from tessera.sources import files, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,9 +107,57 @@ def compact_doc(spark, d):
     return table(spark, d, "documents").select("doc_id", T.compact_doc(F.col("text"), 450).alias("compact"))
 
 
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'plain ' || lang WHEN 1 THEN '[' || source || ']' WHEN 2 THEN '[' || source || ' | ' || source || ']' ELSE '[' || source || ' | part ' || doc_id || ' | ' || lang || ']' END AS header FROM documents".replace("' | ' || source || ']' ELSE", "']' ELSE"))
+def header_compaction(spark, d):
+    k, source = F.col("doc_id") % 5, F.col("source")
+    framed = lambda *parts: F.concat(F.lit(" ["), F.concat_ws(" |", *parts), F.lit(" ] "))
+    header = F.when(k == 0, F.concat(F.lit("plain "), "lang")).when(k == 1, framed(source)).when(k == 2, framed(source, source)).otherwise(framed(source, F.col("lang"), F.lit(" "), F.concat(F.lit(" part "), "doc_id"), F.concat(F.lit(" "), "lang")))
+    shown = T.compact_header(header, 2)
+    return table(spark, d, "documents").select("doc_id", F.when(k == 1, F.regexp_replace(shown, r"\s+\]", "]")).otherwise(shown).alias("header"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN trim(lang || ' x') ELSE lang END AS head, md5(CASE WHEN doc_id % 3 = 0 THEN '' ELSE regexp_replace(text, '^\n+', '') END) AS body_md5 FROM documents")
+def head_and_body(spark, d):
+    joined = F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit(" x"))).otherwise(F.concat(F.lit(" "), "lang", F.lit(" \n\n\n"), "text"))
+    return table(spark, d, "documents").select("doc_id", T.head_of(joined).alias("head"), F.md5(T.body_of(joined)).alias("body_md5"))
+
+
+@query(r"""WITH i AS (SELECT doc_id, regexp_replace(text, '^\n+', '') AS body, '[' || source || ' | ' || lang || ' | doc ' || doc_id || ' | ' || lang || ']' AS head, '[' || source || ' | doc ' || doc_id || ' | ' || lang || ']' AS short,
+  '[' || source || ' | ' || lang || ' | doc ' || doc_id || ' | ' || lang || ']' || chr(10) || chr(10) || text AS whole FROM documents),
+b AS (SELECT *, unnest([400, 22]) AS budget FROM i)
+SELECT doc_id, budget::BIGINT AS budget, md5(CASE WHEN length(whole) <= budget THEN whole
+  WHEN length(head) + 2 <= budget THEN regexp_replace(head || chr(10) || chr(10) || left(body, budget - length(head) - 2), '\s+$', '')
+  WHEN length(short) + 2 <= budget THEN regexp_replace(short || chr(10) || chr(10) || left(body, budget - length(short) - 2), '\s+$', '')
+  ELSE regexp_replace(left(short, budget), '\s+$', '') END) AS fitted_md5 FROM b""")
+def token_fit(spark, d):
+    """Texts fitted into two budgets, with characters as tokens."""
+    head = F.concat(F.lit("["), F.concat_ws(" | ", "source", "lang", F.concat(F.lit("doc "), "doc_id"), "lang"), F.lit("]\n\n"))
+    inputs = table(spark, d, "documents").select("doc_id", F.concat(head, "text").alias("input"))
+    parts = [tokens.fitted(inputs, len, most).select("doc_id", F.lit(most).cast("long").alias("budget"), F.md5("input").alias("fitted_md5")) for most in (400, 22)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT context::BIGINT AS context, least(4096, greatest(512, context - least(256, greatest(128, ceil(context * 0.02)))))::BIGINT AS budget FROM (SELECT unnest(range(256, 32768, 256)) AS context)")
+def token_budget(spark, d):
+    return spark.createDataFrame([(n, tokens.budget(n)) for n in range(256, 32768, 256)], "context long, budget long")
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS context_md5 FROM documents")
+def context_normalized(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.collapse(F.concat(F.lit(" \n"), F.regexp_replace("text", " ", " \t ")))).alias("context_md5"))
+
+
 # Vector search
 
 
+@query("""SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5)::DOUBLE AS first, 1.0::DOUBLE AS length
+FROM embeddings WHERE list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0""")
+def normalized(spark, d):
+    rows = vector.normalized(table(spark, d, "embeddings"))
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    return rows.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"), F.round(size, 5).alias("length"))
+
+
 @query(with_("vectors", "queries", "lex", "near") + "SELECT qid, chunk_id, rank::BIGINT AS rank, round(score, 6)::DOUBLE AS score FROM near WHERE rank <= 10")
 def knn_batch(spark, d):
     return vector.top_k(views.queries(spark, d), views.vectors(spark, d), 10).select("qid", "chunk_id", *long("rank"), six("score"))
@@ -233,6 +286,16 @@ def hybrid_search(spark, d):
     return out.select("qid", "chunk_id", "doc", *long("rank"), *(six(x) for x in ("final_score", "embed_score", "rrf_score", "diversity_score", "display_score")), "fts_hit", "is_index", F.md5("text").alias("text_md5"))
 
 
+@query(with_("lex", "index") + "SELECT term, chunk_id, count(*) AS tf FROM tokens GROUP BY ALL")
+def postings_after_merge(spark, d):
+    """An index of older chunks, of which some are missing, changed or gone since, brought up to date."""
+    now = views.lex_chunks(spark, d).select("chunk_id", "text")
+    new, edited = F.col("chunk_id") % 11 == 0, F.col("chunk_id") % 7 == 0
+    gone = spark.range(3).select((-1 - F.col("id")).alias("chunk_id"), F.lit("a chunk that is gone").alias("text"))
+    then = now.where(~new).withColumn("text", F.when(edited, F.concat("text", F.lit(" older words"))).otherwise(F.col("text"))).unionByName(gone)
+    return lexical.merge_postings(lexical.postings(then), now.where(new | edited), gone).select("term", "chunk_id", *long("tf"))
+
+
 flagship = hybrid_search
 
 
@@ -242,7 +305,12 @@ def _overlap(q: str, texts: list[str]) -> list[tuple[int, float]]:
     return [(i, len(words & set(x.lower().split())) / max(1, len(words))) for i, x in enumerate(texts)]
 
 
-@query()
+@query(with_(*_SEARCH, "ranked") + r""", said AS (
+  SELECT r.*, list_distinct(string_split_regex(trim(lower(q.query)), '\s+')) AS wanted, list_distinct(string_split_regex(trim(lower(l.text)), '\s+')) AS has FROM ranked r JOIN queries q USING (qid) JOIN (SELECT chunk_id, text FROM lex) l USING (chunk_id)),
+reranked AS (SELECT *, len(list_intersect(wanted, has)) / greatest(1, len(wanted)) AS share FROM said),
+placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY share DESC, final_rank) AS place FROM reranked),
+spread AS (SELECT *, share * pow(0.95::DOUBLE, row_number() OVER (PARTITION BY qid, doc ORDER BY place) - 1) AS adj FROM placed)
+SELECT qid, chunk_id, rank, round(share, 6)::DOUBLE AS rerank_score, round(final_score, 6)::DOUBLE AS final_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(adj, 12) DESC, place) AS rank FROM spread) WHERE rank <= 10""")
 def rerank_stub(spark, d):
     out = ranking.hybrid_search(views.queries(spark, d), views.lex_chunks(spark, d), views.vectors(spark, d), reranker=_overlap)
     return out.select("qid", "chunk_id", *long("rank"), six("rerank_score"), six("final_score"))
@@ -357,6 +425,89 @@ def latency_by_user(spark, d):
     return evaluation.latency(table(spark, d, "events"), "value", ("user_id",)).select("user_id", six("p50"), six("p95"))
 
 
+@query("SELECT event_type AS metric, user_id % 4 AS k, round(avg(value), 6)::DOUBLE AS value FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def means_over_runs(spark, d):
+    runs = table(spark, d, "events").where("value is not null").select(F.col("event_id").alias("run"), F.col("event_type").alias("metric"), (F.col("user_id") % 4).alias("k"), "value")
+    return evaluation.over_runs(runs).select("metric", "k", six("value"))
+
+
+@query(with_(*_EVAL) + """, missing AS (SELECT DISTINCT r.qid, r.chunk_id FROM vres r WHERE NOT EXISTS (SELECT 1 FROM qrels q WHERE q.qid = r.qid AND q.chunk_id = r.chunk_id))
+SELECT qid, chunk_id, score::BIGINT AS score, false AS auto_filled FROM qrels
+UNION ALL SELECT m.qid, m.chunk_id, (length(l.text) % 4)::BIGINT, true FROM missing m JOIN lex l USING (chunk_id)""")
+def autofilled(spark, d):
+    own = views.queries(spark, d)
+    near = vector.top_k(own, views.vectors(spark, d), 10)
+    judge = lambda pairs: pairs.select("qid", "chunk_id", (F.length("text") % 4).alias("score"), F.array().cast("array<string>").alias("subtopics"))
+    return evaluation.autofilled(near, views.qrels(spark, d), views.lex_chunks(spark, d), own, judge).select("qid", "chunk_id", *long("score"), "auto_filled")
+
+
+@query(_METRICS + "SELECT metric, k::BIGINT AS k, round(avg(value), 6)::DOUBLE AS value FROM tall WHERE category <> 'negative' GROUP BY ALL")
+def metric_lookup(spark, d):
+    """The means by name and cutoff, read from JSON as results of a run are."""
+    own, _, values = _values(spark, d)
+    found: dict[str, dict[str, float]] = {}
+    for r in evaluation.overall(values, own).collect():  # a few cutoffs of a few metrics
+        found.setdefault(r["metric"], {})[str(r["k"])] = r["value"]
+    found = json.loads(json.dumps(found))
+    return spark.createDataFrame([(name, k, round(evaluation.metric(x, k), 6)) for name, x in found.items() for k in params.CUTOFFS], "metric string, k long, value double")
+
+
+@query(r"""WITH n AS (SELECT row_number() OVER (ORDER BY item_id) AS n, list_filter(regexp_extract_all(text, '[a-zA-Z0-9_-]+'), lambda x: length(x) >= 2) AS t FROM benchmark),
+c AS (SELECT *, CASE WHEN n <= 6 THEN 'exact_lookup' WHEN n <= 12 THEN 'conceptual' WHEN n <= 20 THEN 'cross_doc' WHEN n <= 26 THEN 'natural' ELSE 'negative' END AS category FROM n WHERE n <= 30)
+SELECT 'q' || lpad(n::VARCHAR, 2, '0') AS qid, array_to_string(CASE category WHEN 'negative' THEN list_transform(t[1:3], lambda x: reverse(x)) WHEN 'exact_lookup' THEN t[1:2] WHEN 'conceptual' THEN t[1:6] WHEN 'cross_doc' THEN t[1:8] ELSE t[1:7] END, ' ') AS query, category FROM c""")
+def portfolio(spark, d):
+    return evaluation.portfolio(table(spark, d, "benchmark"))
+
+
+_ANSWERED = "SELECT doc_id, doc_id % 6 AS s, 0.25::DOUBLE * (doc_id % 6) AS c, 'topic ' || quality AS t, 'about ' || doc_id AS r FROM labels"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN least(s, 3) END::BIGINT AS score, CASE WHEN doc_id % 4 < 3 THEN least(c, 1.0) END::DOUBLE AS confidence, CASE WHEN doc_id % 4 < 3 THEN ['a', t] END AS subtopics, CASE WHEN doc_id % 4 < 3 THEN r END AS reason FROM ({_ANSWERED})")
+def judged_answers(spark, d):
+    """Answers as JSON in prose, as a literal, as lines, and some that hold no judgment."""
+    rows = table(spark, d, "labels").selectExpr("doc_id", "doc_id % 6 s", "cast(0.25 * (doc_id % 6) as double) c", "concat('topic ', quality) t", "concat('about ', doc_id) r")
+    forms = ['Here it is:\n```json\n{"score": %s, "confidence": %s, "subtopics": ["a", "%s",], // two\n "reason": "%s"}\n```', "{'score': %s, 'confidence': %s, 'subtopics': ['a', '%s'], 'reason': '%s'}", "Score: %s\nConfidence: %s\nSubtopics: [a, %s]\nReason: %s\n", "I can't say: %s%s%s%s"]
+    k = F.col("doc_id") % 4
+    answer = F.coalesce(*(F.when(k == i, F.format_string(x, F.col("s").cast("string"), F.col("c").cast("string"), "t", "r")) for i, x in enumerate(forms)))
+    return rows.select("doc_id", judgments.parse_answers(answer).alias("j")).select("doc_id", F.col("j.score").cast("long").alias("score"), "j.confidence", "j.subtopics", "j.reason")
+
+
+def _length_judge(prompt: str) -> str:
+    """A stand-in for a model that judges by the length of what it is asked."""
+    n = len(prompt)
+    return f'{{"score": {n % 4}, "confidence": {n % 10 / 10}, "subtopics": ["t{n % 3}"], "reason": "{n}"}}'
+
+
+_JUDGED = """WITH a AS (SELECT doc_id AS qid, length(lang) + 1 + least(length(text), 1500) AS n, 45 + length(lang) + 1 + least(length(text), 1400) AS m FROM documents),
+b AS (SELECT *, n % 10 / 10 < 0.7 OR n % 4 IN (1, 2) AS doubtful FROM a)
+"""
+
+
+@query(_JUDGED + "SELECT qid, (n % 4)::BIGINT AS score, round(n % 10 / 10, 6)::DOUBLE AS confidence, ['t' || n % 3] AS subtopics, n::VARCHAR AS reason, 0.0::DOUBLE AS variance FROM b")
+def judged_once(spark, d):
+    pairs = table(spark, d, "documents").selectExpr("doc_id qid", "doc_id chunk_id", "lang query", "text")
+    return plugins.judgments(pairs, lambda: _length_judge, "{query}\n{chunk}").select("qid", *long("score"), six("confidence"), "subtopics", "reason", "variance")
+
+
+@query(_JUDGED + """SELECT qid, (CASE WHEN doubtful THEN round_even((n % 4 + m % 4) / 2, 0) ELSE n % 4 END)::BIGINT AS score, round(CASE WHEN doubtful THEN (n % 10 / 10 + m % 10 / 10) / 2 ELSE n % 10 / 10 END, 6)::DOUBLE AS confidence,
+  CASE WHEN doubtful THEN list_sort(list_distinct(['t' || n % 3, 't' || m % 3])) ELSE ['t' || n % 3] END AS subtopics, n::VARCHAR AS reason, (CASE WHEN doubtful THEN abs(n % 4 - m % 4) ELSE 0 END)::DOUBLE AS variance FROM b""")
+def judged_twice(spark, d):
+    pairs = table(spark, d, "documents").selectExpr("doc_id qid", "doc_id chunk_id", "lang query", "text")
+    return plugins.judgments(pairs, lambda: _length_judge, "{query}\n{chunk}", debias=True).select("qid", *long("score"), six("confidence"), "subtopics", "reason", "variance")
+
+
+@query("SELECT doc_id AS chunk_id, 'about ' || length(text) AS context, 'm' AS model FROM documents")
+def model_contexts(spark, d):
+    prompts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("prompt"))
+    return plugins.contexts(prompts, lambda: lambda prompt: f" about\n {len(prompt)} ", "m")
+
+
+@query("SELECT doc_id AS chunk_id, [length(text), 1.0]::DOUBLE[] AS embedding FROM documents")
+def model_embeddings(spark, d):
+    inputs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("input"))
+    return plugins.embeddings(inputs, lambda: lambda texts: [[float(len(x)), 1.0] for x in texts], 2).select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
 # Maintenance
 
 _MERGE = with_("md", "lines", "sections", "chunks", "old") + """, planned AS (SELECT c.*, s.section_no, false AS is_index FROM chunks c LEFT JOIN sections s ON s.doc = c.doc AND c.start_line BETWEEN s.start_line AND s.end_line),
@@ -432,3 +583,80 @@ def cache_lookup(spark, d):
 def cache_evict(spark, d):
     vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("created_at"))
     return cache.put(vecs.limit(0), vecs, 50).select("id")
+
+
+@query("SELECT 0::BIGINT AS entries")
+def cache_cleared(spark, d):
+    vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").cast("double").alias("created_at"))
+    return cache.clear(cache.put(vecs.limit(0), vecs, 50)).agg(F.count("*").alias("entries"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def purged(spark, d):
+    return maintenance.purge(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").select("doc_id")
+
+
+@query("SELECT source AS doc, md5(text) AS text_md5 FROM documents WHERE doc_id = 17")
+def chunk_lookup(spark, d):
+    """One chunk by its id, as the feature has it."""
+    found = ranking.lookup(views.lex_chunks(spark, d), 17)
+    return spark.createDataFrame([found], "doc string, text string").select("doc", F.md5("text").alias("text_md5"))
+
+
+@query(with_("md", "lines", "sections") + "SELECT doc, start_line::BIGINT AS start_line, title, CASE WHEN start_line % 11 <> 0 THEN start_line * 10 + 1 END::BIGINT AS section_id FROM sections")
+def merged_sections(spark, d):
+    planned = structure.sections(views.markdown(spark, d))
+    line = F.col("start_line")
+    old = planned.where(line % 11 != 0).select("doc", "start_line", (line * 10 + 1).cast("long").alias("section_id"))
+    twice = old.where(line % 5 == 0).withColumn("section_id", F.col("section_id") + 5)
+    gone = planned.select("doc").distinct().select("doc", F.lit(999999).alias("start_line"), F.lit(7).cast("long").alias("section_id"))
+    return maintenance.merge_sections(old.unionByName(twice).unionByName(gone), planned).select("doc", *long("start_line"), "title", "section_id")
+
+
+@query("""WITH o AS (SELECT doc_id::VARCHAR AS doc, 'old/' || doc_id AS path, n_chars AS line_count, 1 AS expected_chunks, 2024 AS made FROM documents WHERE doc_id % 3 <> 0),
+n AS (SELECT doc_id::VARCHAR AS doc, 'new/' || doc_id AS path, n_chars + 1 AS line_count, 2 AS expected_chunks, 2025 AS made FROM documents WHERE doc_id % 2 = 0)
+SELECT coalesce(n.doc, o.doc) AS doc, coalesce(n.path, o.path) AS path, coalesce(n.line_count, o.line_count)::BIGINT AS line_count, coalesce(n.expected_chunks, o.expected_chunks)::BIGINT AS expected_chunks, coalesce(o.made, n.made)::BIGINT AS created_year FROM o FULL JOIN n USING (doc)""".replace("coalesce(n.doc, o.doc) AS doc", "doc"))
+def upserted_documents(spark, d):
+    rows = table(spark, d, "documents")
+    side = lambda where, name, more, chunks_, at: rows.where(where).select(F.col("doc_id").cast("string").alias("doc"), F.concat(F.lit(name), "doc_id").alias("path"), (F.col("n_chars") + more).cast("int").alias("line_count"), F.lit(chunks_).alias("expected_chunks"), F.lit(at).cast("timestamp").alias("created_at"))
+    out = maintenance.upsert_documents(side("doc_id % 3 <> 0", "old/", 0, 1, "2024-01-01"), side("doc_id % 2 = 0", "new/", 1, 2, "2025-01-01"))
+    return out.select("doc", "path", *long("line_count", "expected_chunks"), F.year("created_at").cast("long").alias("created_year"))
+
+
+_LISTED = """WITH l AS (SELECT d.doc_id::VARCHAR AS name, n_chars AS size, CASE WHEN n_chars = 0 THEN '-' WHEN n_chars >= 1024 THEN printf('%.1f KB', n_chars / 1024) ELSE n_chars || ' B' END AS size_label,
+  CASE WHEN quality IS NULL THEN 'pending' WHEN quality = 1 THEN 'ready' ELSE 'embed 50%' END AS label FROM documents d LEFT JOIN labels USING (doc_id))
+"""
+
+
+def _listing(spark, d):
+    files_ = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("size"))
+    states = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("doc"), F.when(F.col("quality") == 1, "ready").otherwise("embed 50%").alias("label"))
+    return maintenance.listed(files_, states)
+
+
+@query(_LISTED + "SELECT name, size::BIGINT AS size, size_label, label, label = 'ready' AS ready FROM l")
+def listed_documents(spark, d):
+    return _listing(spark, d).select("name", *long("size"), "size_label", "label", "ready")
+
+
+@query(_LISTED + "SELECT count(*) FILTER (label = 'ready') AS ready, count(*) AS total FROM l")
+def ready_documents(spark, d):
+    return maintenance.ready(_listing(spark, d)).select(*long("ready", "total"))
+
+
+@query("SELECT doc_id::VARCHAR AS doc, source AS path, n_chars::BIGINT AS line_count FROM documents")
+def stored_documents(spark, d):
+    """Rows written into a project's table and read from it."""
+    name = f"tessera_{uuid.uuid4().hex}"
+    store.create_tables(spark, name, scratch(spark, "store"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.col("source").alias("path"), F.col("n_chars").cast("int").alias("line_count"), F.lit(1).alias("expected_chunks"), F.lit(None).cast("timestamp").alias("created_at"))
+    rows.write.insertInto(f"`{name}`.`documents`")
+    return store.open_table(spark, name, "documents").select("doc", "path", *long("line_count"))
+
+
+@query(with_("md") + "SELECT doc, md5(md) AS md5 FROM md")
+def stored_markdown(spark, d):
+    """Markdown written into a folder and read from it."""
+    path = scratch(spark, "markdown")
+    files.write_markdown(views.markdown(spark, d), path)
+    return spark.read.parquet(path).select("doc", F.md5("md").alias("md5"))

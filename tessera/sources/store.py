@@ -33,9 +33,9 @@ def _save(path: pathlib.Path, value: object) -> None:
     os.replace(temporary, path)
 
 
-def create_tables(spark: SparkSession, database: str) -> None:
-    """The tables of a project, where they are not there yet."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+def create_tables(spark: SparkSession, database: str, location: str | None = None) -> None:
+    """The tables of a project, where they are not there yet; location: the folder of a new database."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`" + (f" LOCATION '{location}'" if location else ""))
     for name, columns in TABLES.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet")
 
@@ -74,11 +74,18 @@ class Projects:
         except ValueError as error:
             raise ValueError(f"{self.path} is no JSON") from error
         rows = value.get("projects") if isinstance(value, dict) else None
-        if not isinstance(rows, list) or not all(isinstance(x, dict) and all(isinstance(x.get(k), str) and x[k] for k in ("id", "docs_dir")) for x in rows):
+        if not isinstance(rows, list) or not all(isinstance(x, dict) and isinstance(x.get("docs_dir"), str) for x in rows):
             raise ValueError(f"{self.path} holds no list of projects")
-        if len({x["id"] for x in rows}) < len(rows):
-            raise ValueError(f"{self.path} holds an id twice")
-        return [{"id": x["id"], "docs_dir": x["docs_dir"]} for x in rows]
+        out: dict[str, dict[str, str]] = {}
+        for row in rows:
+            folder, name = os.path.abspath(os.path.expanduser(row["docs_dir"])), row.get("id")
+            name = (name.strip() if isinstance(name, str) else "") or os.path.basename(folder) or "project"  # an id, or the folder's name
+            if name.lower() in params.RESERVED_PROJECTS:
+                raise ValueError(f"{self.path} holds the reserved id {name}")
+            if name in out:
+                raise ValueError(f"{self.path} holds the id {name} twice")
+            out[name] = {"id": name, "docs_dir": folder}
+        return list(out.values())
 
     def get(self, name: str) -> dict[str, str] | None:
         """A project by id or by folder."""

@@ -74,9 +74,9 @@ def test_whole_tables(spark):
     d = "/root/testdata/sf0.001"
     users = table(spark, d, "events").where("value is not null").select("user_id").distinct().count()
     assert registry.QUERIES["latency_by_user"](spark, d).count() == users > 1
-    pairs = table(spark, d, "documents").count() * table(spark, d, "benchmark").count()
-    assert registry.QUERIES["exact_bonus_all"](spark, d).count() == pairs
-    assert any(r.qid >= 100 and r.id >= 200 for r in registry.QUERIES["cache_lookup_all"](spark, d).collect())
+    items = table(spark, d, "benchmark").count()
+    assert len({r.qid for r in registry.QUERIES["exact_bonus"](spark, d).collect()}) == items
+    assert any(r.qid >= 100 for r in registry.QUERIES["cache_lookup"](spark, d).collect())
 
 
 def test_histogram_and_labels(spark):
@@ -84,3 +84,20 @@ def test_histogram_and_labels(spark):
     assert [(r.score, r.n) for r in E.histogram(q).orderBy("score").collect()] == [(0, 1), (1, 0), (2, 0), (3, 2)]
     assert E.subtopics_of(q).first().subtopics == ["a", "b"]
     assert E.metric({"5": 0.25}, 5) == 0.25 and E.metric({5: 1}, 5) == 1 and E.metric({}, 5) == 0
+
+
+def test_strict_and_probe(spark):
+    results = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "qid int, chunk_id long")
+    qrels = spark.createDataFrame([(1, 5, 3, []), (2, 7, 0, [])], "qid int, chunk_id long, score int, subtopics array<string>")
+    with pytest.raises(E.Unjudged, match="1 results .* 1/6"):
+        E.strict(results, qrels)
+    assert E.strict(results.where("chunk_id <> 6"), qrels) is qrels
+    now = iter(range(100))
+    assert E.probe(len, lambda q, v: None, ["a", "b"], clock=lambda: next(now)) == [{"embed_ms": 1000.0, "search_ms": 1000.0, "total_ms": 2000.0}] * 2
+
+
+def test_portfolio(spark):
+    items = spark.createDataFrame([(k, f"one two three four five six seven eight nine t{k}") for k in range(40)], "item_id long, text string")
+    rows = E.portfolio(items).collect()
+    assert {c: sum(r.category == c for r in rows) for c in E.PORTFOLIO} == {"exact_lookup": 6, "conceptual": 6, "cross_doc": 8, "natural": 6, "negative": 4}
+    assert len({r.qid for r in rows}) == 30 and {r.query for r in rows if r.category == "negative"} == {"eno owt eerht"}

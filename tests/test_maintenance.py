@@ -47,3 +47,16 @@ def test_upsert_purge_pending(spark):
     assert M.pending(rows, spark.createDataFrame([(1,)], "chunk_id long")).first().chunk_id == 2
     docs = spark.createDataFrame([("a",), ("b",)], "doc string")
     assert M.purge(docs, docs.where("doc = 'a'")).count() == 1
+
+
+def test_numbers_have_no_gap(spark):
+    rows = spark.createDataFrame([(None, f"d{k % 7}", k) for k in range(50)] + [(3, "x", 1)], "chunk_id long, doc string, start_line int")
+    assert sorted(r.chunk_id for r in M.numbered(rows, 10).collect()) == [3, *range(10, 60)]
+
+
+def test_sections_keep_their_ids(spark):
+    old = spark.createDataFrame([(1, "d", 1), (2, "d", 10), (9, "d", 10), (3, "d", 20)], "section_id long, doc string, start_line int")
+    new = spark.createDataFrame([("d", 1, "A", 1, 1, 9), ("d", 2, "renamed", 2, 10, 29), ("d", 3, "new", 1, 30, 40), ("e", 1, "x", 1, 1, 2)], "doc string, section_no int, title string, level int, start_line int, end_line int")
+    merged = M.merge_sections(old, new)
+    assert {(r.doc, r.start_line): r.section_id for r in merged.collect()} == {("d", 1): 1, ("d", 10): 2, ("d", 30): None, ("e", 1): None}
+    assert sorted(r.section_id for r in M.numbered(merged, 100, "section_id").collect()) == [1, 2, 100, 101]

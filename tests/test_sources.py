@@ -43,9 +43,12 @@ def test_projects(tmp_path):
     with pytest.raises(KeyError):
         p.activate("nothing")
     assert p.remove("search-2") and not p.data_dir("search-2").exists() and not p.remove("search-2")
-    (tmp_path / "p.json").write_text('{"projects": [{"id": ""}]}')
-    with pytest.raises(ValueError):
-        p.all()
+    for bad in ('{"projects": [{"id": ""}]}', '{"projects": [{"id": "Search", "docs_dir": "/a"}]}', '{"projects": [{"docs_dir": "/x/a"}, {"id": "a", "docs_dir": "/b"}]}', "{", "[]"):
+        (tmp_path / "p.json").write_text(bad)
+        with pytest.raises(ValueError):
+            p.all()
+    (tmp_path / "p.json").write_text('{"projects": [{"id": " ", "docs_dir": "/x/Manuals"}, {"id": "b", "docs_dir": "/y"}]}')
+    assert p.all() == [{"id": "Manuals", "docs_dir": "/x/Manuals"}, {"id": "b", "docs_dir": "/y"}]
 
 
 def test_meta_results_and_truth(spark, tmp_path):
