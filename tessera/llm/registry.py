@@ -90,3 +90,27 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {}
+
+
+def warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_warc_chunks that SQL expresses."""
+    return op3_warc_chunks(spark, sf_dir).select("page_id", "payload_bytes", "record_type", "refers_to")
+
+
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_pii_tagger that SQL expresses: numbers of spans of the patterns."""
+    return op9_pii_tagger(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+QUERIES |= {"warc_records": warc_records, "personal_data_counts": personal_data_counts}
+
+SQL |= {
+    "warc_records": """SELECT p.page_id, strlen(coalesce(html, '')) AS payload_bytes, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM pages p JOIN (SELECT coalesce(html, '') AS h, min(page_id) AS first FROM pages GROUP BY 1) f ON f.h = coalesce(p.html, '')""",
+    "personal_data_counts": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+  list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card, list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phone FROM d)
+SELECT doc_id, len(email) AS n_email, len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR coalesce(try_cast(y AS INTEGER), 0) > 255)) = 0)) AS n_ip,
+  len(list_filter(card, lambda x: length(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda k: CASE WHEN (length(x) - k) % 2 = 1 THEN (2 * (ascii(x[k]) - 48)) // 10 + (2 * (ascii(x[k]) - 48)) % 10 ELSE ascii(x[k]) - 48 END)) % 10 = 0)) AS n_card,
+  len(list_filter(phone, lambda n: n BETWEEN 10 AND 15)) AS n_phone FROM f""",
+}
