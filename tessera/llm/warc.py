@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import release, shared_dir
 
 #: Bytes of a chunk; records of a file.
 CHUNK, RECORDS = 256 * 1024, 8192
@@ -95,13 +95,13 @@ def _segment(record: str, target: dict, number: int, piece: bytes, more: dict) -
     return _head("response" if number == 1 else "continuation", name, len(piece), target | head) + piece + b"\r\n\r\n"
 
 
-def with_first(pages: DataFrame) -> DataFrame:
+def with_first(pages: DataFrame) -> tuple[DataFrame, str]:
     """(page_id, url, payload binary, sha1 string, first_id) of pages (page_id, url, html), null as empty. first_id is the
     smallest id of all rows with the same payload, null where no other row has it or none has an id.
 
     Only the digests are dealt out, by themselves; those of several rows are written and joined to the pages again. Spark
     measures the written table: a small one goes to every task, and for a large one the pages are dealt out by digest, a
-    digest of many rows further, as the other side has one row for it.
+    digest of many rows further, as the other side has one row for it. Returns the written table's path as well.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -110,7 +110,7 @@ def with_first(pages: DataFrame) -> DataFrame:
     own.groupBy("sha1", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n").write.parquet(path)
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha1(payload)).alias("sha1"), F.octet_length(payload).alias("size"))
     marked = keyed.join(spark.read.parquet(path), ["sha1", "size"], "left")
-    return marked.select("page_id", "url", "payload", F.lower(F.hex("sha1")).alias("sha1"), "first_id")
+    return marked.select("page_id", "url", "payload", F.lower(F.hex("sha1")).alias("sha1"), "first_id"), path
 
 
 def write(pages: DataFrame, path: str, size: int = CHUNK, compression: str = "gzip", key: str = "page_id", url: str = "url", payload: str = "html") -> None:
@@ -134,9 +134,10 @@ def write(pages: DataFrame, path: str, size: int = CHUNK, compression: str = "gz
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
-    marked = with_first(pages.selectExpr(f"cast(`{key}` as long) page_id", f"cast(`{url}` as string) url", f"`{payload}` html"))
+    marked, copies = with_first(pages.selectExpr(f"cast(`{key}` as long) page_id", f"cast(`{url}` as string) url", f"`{payload}` html"))
     bytes_ = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     bytes_.write.option("lineSep", "\n").option("compression", compression).option("maxRecordsPerFile", RECORDS).text(path)
+    release(pages.sparkSession, copies)
 
 
 _PARTS = "record string, kind string, url string, chunk int, last boolean, named string, total long, refers string, row string, data binary"
