@@ -69,10 +69,10 @@ def test_blocks_change_nothing(spark):
     whole = sorted(D.matches(docs, again).collect())
     kept = sorted(r.doc_id for r in D.clean(docs, again).select("doc_id").collect())
     assert whole and len({(r.doc_id, r.item_id) for r in whole}) == len(whole) and {r.doc_id for r in whole}.isdisjoint(kept)
-    for chars in (20, 3000):
-        part = again if chars > 20 else again.where("item_id < 8")
-        assert sorted(D.matches(docs, part, block_chars=chars).collect()) == [r for r in whole if chars > 20 or r.item_id < 8]
-    assert sorted(r.doc_id for r in D.clean(docs, again, block_chars=3000).select("doc_id").collect()) == kept
+    for chars in (200, 6000):
+        part = again if chars > 200 else again.where("item_id < 8")
+        assert sorted(D.matches(docs, part, block_chars=chars).collect()) == [r for r in whole if chars > 200 or r.item_id < 8]
+    assert sorted(r.doc_id for r in D.clean(docs, again, block_chars=12000).select("doc_id").collect()) == kept
 
 
 def test_odd_rows(spark):
