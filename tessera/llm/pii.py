@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,9 +168,9 @@ def examples(n: int, seed: int = 0, share: float = 0.2) -> list[tuple[str, list[
 #: Characters of a window and from one window to the next: every span of up to LENGTH - STRIDE characters lies whole in one.
 LENGTH, STRIDE = 1120, 1024
 #: The same for the sequences of training; windows scored at once, and windows with hope of a span that are followed at once.
-FIT_LENGTH, FIT_STRIDE, ROWS, HELD = 96, 64, 2048, 256
+FIT_LENGTH, FIT_STRIDE, ROWS, HELD = 96, 64, 768, 128
 #: Characters handled at once by one Python worker.
-CHARS = 4_000_000
+CHARS = 800_000
 
 
 def _laid_out(labelled: list[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.ndarray]:
@@ -335,11 +336,15 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]))))
 
 
-def _spans(texts: list[str], decoder: Decoder) -> Iterator[tuple[list[Span], list[Span]]]:
-    """The patterns' spans of each text, and those that the tagger adds."""
-    for a, b in slices([len(x) for x in texts], CHARS):
-        bases = [base_spans(x) for x in texts[a:b]]
-        yield from zip(bases, added_spans(texts[a:b], bases, decoder), strict=True)
+def _parts(batch: pa.RecordBatch, column: int, decoder: Decoder) -> Iterator[tuple[pa.RecordBatch, list[str | None], list[list[Span]], list[list[Span]]]]:
+    """A batch in parts of bounded text: the rows, their texts, the patterns' spans of each and those that the tagger adds."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
+    for a, b in slices(sizes, CHARS):
+        rows = batch.slice(a, b - a)
+        values = rows.column(column).to_pylist()
+        texts = [x or "" for x in values]
+        bases = [base_spans(x) for x in texts]
+        yield rows, values, bases, added_spans(texts, bases, decoder)
 
 
 def find(docs: DataFrame, tagger: Tagger | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -353,13 +358,13 @@ def find(docs: DataFrame, tagger: Tagger | None = None, key: str = "doc_id", tex
     def make():
         decoder = shared.value.decoder()
 
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bases, more = zip(*_spans([x or "" for x in batch.column(1).to_pylist()], decoder), strict=True)
-            columns = [batch.column(0)]
-            columns += [pa.array([sum(x[0] == kind for x in base) for base in bases], pa.int64()) for kind in KINDS]
-            columns.append(pa.array([hashlib.sha256(written(x).encode()).hexdigest() for x in bases]))
-            columns.append(pa.array([written([*x, *y]) for x, y in zip(bases, more, strict=True)]))
-            return pa.RecordBatch.from_arrays(columns, ["id", *(f"n_{x}" for x in KINDS), "base_sha256", "spans"])
+        def apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for rows, _, bases, more in _parts(batch, 1, decoder):
+                columns = [rows.column(0)]
+                columns += [pa.array([sum(x[0] == kind for x in base) for base in bases], pa.int64()) for kind in KINDS]
+                columns.append(pa.array([hashlib.sha256(written(x).encode()).hexdigest() for x in bases]))
+                columns.append(pa.array([written([*x, *y]) for x, y in zip(bases, more, strict=True)]))
+                yield pa.RecordBatch.from_arrays(columns, ["id", *(f"n_{x}" for x in KINDS), "base_sha256", "spans"])
 
         return apply
 
@@ -384,13 +389,11 @@ def redact(docs: DataFrame, tagger: Tagger | None = None, text: str = "text") ->
     def make():
         decoder = shared.value.decoder()
 
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             at = batch.schema.get_field_index(text)
-            values = batch.column(at).to_pylist()
-            texts = [x or "" for x in values]
-            bases, more = zip(*_spans(texts, decoder), strict=True)
-            new = [None if v is None else masked(x, [*a, *b]) if a or b else x for v, x, a, b in zip(values, texts, bases, more, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(new, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
+            for rows, values, bases, more in _parts(batch, at, decoder):
+                new = [masked(v, [*a, *b]) if a or b else v for v, a, b in zip(values, bases, more, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(new, batch.schema.field(at).type) if k == at else c for k, c in enumerate(rows.columns)], schema=batch.schema)
 
         return apply
 
