@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers in the queries of one scan (64 MB); queries scored at once; rows that a task holds before it cuts them down.
-NUMBERS, AT_ONCE, HELD = 8_000_000, 256, 2_000_000
+#: Numbers in the queries of one scan (64 MB); queries and vectors scored at once; rows that a task holds before it cuts them
+#: down, or twice what it must hold.
+NUMBERS, AT_ONCE, VECTORS, HELD = 8_000_000, 256, 4096, 500_000
 
 
 def valid(embedding: Column, dim: int) -> Column:
@@ -54,7 +55,7 @@ class _Best:
             row, column = np.nonzero(scores >= least[:, None])
             self.held.append((row + a, ids[column], scores[row, column]))
             self.size += len(row)
-            if self.size > HELD and len(self.held) > 1:
+            if self.size > max(HELD, 2 * self.k * len(self.queries)) and len(self.held) > 1:
                 self.cut()
 
     def cut(self) -> None:
@@ -111,7 +112,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int | Column, most: int | N
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             best = {dim: _Best(*own, bound) for dim, own in shared.value.items()}
-            for batch in batches:
+            for batch in (whole.slice(a, VECTORS) for whole in batches for a in range(0, whole.num_rows, VECTORS)):
                 lists = batch.column(1)
                 starts, sizes = lists.offsets.to_numpy()[:-1], np.diff(lists.offsets.to_numpy())
                 filled = lists.is_valid().to_numpy(zero_copy_only=False)
