@@ -52,3 +52,15 @@ def test_full_text_search_deals_out_results_only(spark, name):
 
 def test_marks_are_taken_from_letters_of_any_script():
     assert fold("ÉáÅẛ̣ İ 한 \U0001e8d0x" + "é" * 99) == "eaaſ i 한 x" + "e" * 99
+
+
+def test_cache_compares_no_pairs_of_rows(spark):
+    from tessera.operators import cache
+
+    vectors = [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [3.0, 3.0], [0.0, 0.0], [1.0, 0.0, 0.0]]
+    entries = spark.createDataFrame([(9 - k, e, [(k, 0.5)], 100.0, "m", 10 + k % 2) for k, e in enumerate(vectors)], cache.SCHEMA)
+    asked = [[1.0, 0.0], [0.1, 2.0], [1.0, 1.0], [0.0, 0.0], [2.0, 0.0, 0.0], [-1.0, 0.0], None, [1.0], [1.0, 0.0]]
+    queries = spark.createDataFrame([(k % 8, e, 11 if k == 8 else 10) for k, e in enumerate(asked)], "qid int, q_emb array<float>, min_candidates int").repartition(3)
+    found = cache.probe(queries, entries, 200.0, "m", ttl=150)
+    assert sorted((r.qid, r.id, round(r.similarity, 6), r.vector_results[0].chunk_id) for r in found.collect()) == [(0, 8, 1.0, 1), (1, 7, 0.998752, 2), (2, 6, 1.0, 3), (4, 4, 1.0, 5)]
+    assert "NestedLoop" not in plan(found) and "NestedLoop" not in plan(registry.QUERIES["cache_lookup"](spark, DATA))
