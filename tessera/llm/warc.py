@@ -22,11 +22,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release, shared_dir
+from tessera.llm.common import release, shared_dir, slices
 
 #: Bytes of a chunk; records of a file.
 CHUNK, RECORDS = 256 * 1024, 8192
@@ -34,6 +35,16 @@ MARK = b"\r\n\r\nWARC/1.1\r\n"
 _PREFIX = "<urn:page:"
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: int, most: int = 16 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a column of bytes has at most `most` in each, or one row: what is taken out of them stays small
+    however long the rows are. Their memory goes back at the end, as the worker lives on."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for a, b in slices(sizes, most):
+            yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+
+
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -120,7 +131,7 @@ def write(pages: DataFrame, path: str, size: int = CHUNK, compression: str = "gz
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         rows, held, number = [], 0, 0
-        for batch in batches:
+        for batch in parts(batches, 2):
             ids, urls, _, digests, firsts = (c.to_pylist() if k != 2 else None for k, c in enumerate(batch.columns))
             for page, link, data, sha1, first in zip(ids, urls, batch.column(2), digests, firsts, strict=True):
                 number += 1
@@ -148,7 +159,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     Rows are records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 0):
             out: list[list] = [[] for _ in range(10)]
             for row in batch.column(0).to_pylist():
                 if not row:
@@ -195,7 +206,7 @@ def payloads(table: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], [x.split()[0] for x in _OUT.split(", ")])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 5):
             rows = []
             for record, kind, named, total, refers, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == "revisit":
@@ -209,7 +220,7 @@ def payloads(table: DataFrame) -> DataFrame:
 
     def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, digest, size, following = None, None, 0, 0
-        for batch in batches:
+        for batch in parts(batches, 5):
             rows = []
             for record, row, chunk, last, named, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if current is None:

@@ -84,3 +84,11 @@ def test_damage_is_seen(spark, tmp_path):
         crc.unlink()
     with pytest.raises(Exception, match="digest"):
         warc.payloads(warc.read_chunks(spark, str(tmp_path / "w"))).collect()
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array([b"a" * 6, None, b"b" * 4, b"c" * 99, b""])], ["n", "data"])
+    got = [x.column(0).to_pylist() for x in warc.parts(iter([batch, batch.slice(0, 0)]), 1, 10)]
+    assert got == [[1, 2, 3], [4], [5]]
