@@ -13,6 +13,10 @@ bytes that all windows with this anchor can reach, which stands for these bytes.
 
 A gram with more kinds of surroundings than a task should hold is not sorted: its windows are hashed and counted, dealt out
 by hash. All else is counted, joined or sorted by gram or document, and no step holds more than one document or group.
+
+What steps hand on is written to the shared folder only where its shuffle files should go at once, as Hadoop starts a
+process for each file and folder that it writes locally. Anchors and counts stay on the executors' disks and are made again
+if one is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +37,7 @@ from tessera.llm.deep_shallow import sort_groups
 
 WIDTH, GRAM = 200, 64
 #: Kinds of surroundings of one gram that are sorted in one task; bytes scanned at once.
-MOST, BYTES = 20_000, 1_000_000
+MOST, BYTES = 20_000, 250_000
 #: Rows of a key that are joined by themselves: more than this and more than a thousandth of all.
 HOT = 10_000
 _LEFT = WIDTH - GRAM
@@ -131,9 +137,8 @@ def _anchors(keyed: DataFrame) -> DataFrame:
     def make():
         def apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             ids, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = [x.encode() for x in batch.column(2).to_pylist()]
-            for a, b in slices([len(x) for x in texts], 4 * BYTES):
-                text, place, gram, one, two, right = anchors_of(texts[a:b])
+            for a, b in slices(pc.binary_length(batch.column(2)).to_pylist(), 4 * BYTES):
+                text, place, gram, one, two, right = anchors_of([x.encode() for x in batch.column(2).slice(a, b - a).to_pylist()])
                 columns = (gram, ids[a + text], ts[a + text], place.astype(np.int32), one, two, right.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gram", "id", "t", "place", "around", "around2", "right"])
 
@@ -149,12 +154,13 @@ def _surroundings(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     ddl = "gram long, id long, t int, place int, n int, before binary, after binary"
 
     def make():
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for i, t, text, grams, places, rights, ns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(g, i, t, p, n, text[max(0, p - _LEFT) : p], text[p : p + r]) for g, p, r, n in zip(grams, places, rights, ns, strict=True)]
+        def apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in ddl.split(", ")])
+            for a, b in slices(pc.binary_length(batch.column(2)).to_pylist(), 4 * BYTES):
+                rows = []
+                for i, t, text, grams, places, rights, ns in zip(*(c.slice(a, b - a).to_pylist() for c in batch.columns), strict=True):
+                    rows += [(g, i, t, p, n, text[max(0, p - _LEFT) : p], text[p : p + r]) for g, p, r, n in zip(grams, places, rights, ns, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in ddl.split(", ")])
 
         return apply
 
@@ -221,26 +227,31 @@ def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield spans(held)
 
 
-def _counted_spans(rows: DataFrame) -> DataFrame:
-    """The same spans for grams of very many surroundings, by counting the hashes of their windows."""
+def _windows(rows: DataFrame) -> DataFrame:
+    """Every window of the surroundings with a hash of 128 bits; a few hundred rows at a time, as each gives up to 137."""
     ddl = "id long, t int, start int, n int, one long, two long"
 
     def make():
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            out: list[tuple] = []
-            for gram, i, t, place, n, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text, left = before + after, len(before)
-                for o in range(max(0, WIDTH - len(after)), left + 1):
-                    digest = xxhash.xxh3_128_intdigest(text[left - o : left - o + WIDTH], seed=gram & 0xFFFFFFFF)
-                    out.append((i, t, place - o, n, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)))
-            if not out:
-                return None
+        def apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in ddl.split(", ")])
+            for a in range(0, batch.num_rows, 500):
+                out: list[tuple] = []
+                for gram, i, t, place, n, before, after in zip(*(c.slice(a, 500).to_pylist() for c in batch.columns), strict=True):
+                    text, left = before + after, len(before)
+                    for o in range(max(0, WIDTH - len(after)), left + 1):
+                        digest = xxhash.xxh3_128_intdigest(text[left - o : left - o + WIDTH], seed=gram & 0xFFFFFFFF)
+                        out.append((i, t, place - o, n, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in ddl.split(", ")])
 
         return apply
 
-    windows = map_batches(rows, ddl, make)
+    return map_batches(rows, ddl, make)
+
+
+def _counted_spans(rows: DataFrame) -> DataFrame:
+    """The same spans for grams of very many surroundings, by counting the hashes of their windows."""
+    windows = _windows(rows)
     again = windows.groupBy("one", "two").agg(F.sum("n").alias("all")).where("all > 1").select("one", "two")
     return windows.where("n = 1").join(again, ["one", "two"]).select("id", "t", "start", (F.col("start") + WIDTH).cast("int").alias("end"))
 
@@ -256,45 +267,50 @@ def _of_keys(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -
     return rows.join(hot, keys, "left_semi").unionByName(others)
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST) -> tuple[DataFrame, list[str]]:
-    """(id, t, start, end): stretches of repeated windows of the rows of _keyed(), and the tables behind them."""
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """(id, t, starts, ends): stretches of repeated windows in the rows of _keyed() that have any."""
     spark = docs.sparkSession
     keyed = _keyed(docs, key, text)
-    places = {x: shared_dir(spark, f"substrings-{x}") for x in ("anchors", "grams", "again", "kinds", "several", "hot", "around", "spans")}
-    _anchors(keyed).write.parquet(places["anchors"])
-    anchors = spark.read.parquet(places["anchors"])
-    total = anchors.count()
-    anchors.groupBy("gram").count().where("count > 1").write.parquet(places["grams"])
-    _of_keys(anchors, spark.read.parquet(places["grams"]), ["gram"], total).write.parquet(places["again"])
-    del anchors
-    release(spark, places["anchors"], places["grams"])
-    again = spark.read.parquet(places["again"])
-    again.groupBy("gram", "around", "around2").agg(F.count("*").alias("count"), F.min(F.struct("id", "t", "place", "right")).alias("one")).write.parquet(places["kinds"])
-    kinds = spark.read.parquet(places["kinds"])
-    # surroundings that occur twice
-    left = F.least(F.lit(_LEFT), F.col("place"))
-    whole = _of_keys(again, kinds.where("count > 1"), ["gram", "around", "around2"], total).where(left + F.col("right") >= WIDTH)
-    whole = whole.select("id", "t", (F.col("place") - left).cast("int").alias("start"), (F.col("place") + F.col("right")).cast("int").alias("end"))
-    # others, in groups of one gram
-    kinds.groupBy("gram").count().where("count > 1").write.parquet(places["several"])
-    several = spark.read.parquet(places["several"])
-    several.where(F.col("count") > most).select("gram").write.parquet(places["hot"])
-    hot = spark.read.parquet(places["hot"])
-    wanted = kinds.join(several.select("gram"), "gram", "left_semi").select("gram", "one.*", F.least("count", F.lit(2)).cast("int").alias("n"))
-    _surroundings(keyed, wanted).write.parquet(places["around"])
-    around = spark.read.parquet(places["around"])
-    del wanted, several
-    release(spark)
-    width = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = None
-    if not hot.isEmpty():
-        counted = _counted_spans(around.join(hot, "gram", "left_semi").select(around.columns))
-        around = around.join(hot, "gram", "left_anti").select(around.columns)
-    found = around.repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(_sorted_spans, "id long, t int, start int, end int").unionByName(whole)
-    (found.unionByName(counted) if counted is not None else found).write.parquet(places["spans"])
-    del around, found, whole, counted, again, kinds
-    release(spark, places["again"], places["kinds"], places["around"], places["several"])
-    return spark.read.parquet(places["spans"]), [places["spans"], places["hot"]]
+    places = {x: shared_dir(spark, f"substrings-{x}") for x in ("again", "around", "spans")}
+    kept: list[DataFrame] = []
+
+    def keep(rows: DataFrame) -> tuple[DataFrame, int]:
+        kept.append(rows.persist(StorageLevel.DISK_ONLY))
+        return rows, rows.count()
+
+    def drop(*names: str) -> None:
+        while kept:
+            kept.pop().unpersist(True)
+        release(spark, *(places[x] for x in names))
+
+    try:
+        anchors, total = keep(_anchors(keyed))
+        grams, _ = keep(anchors.groupBy("gram").count().where("count > 1"))
+        _of_keys(anchors, grams, ["gram"], total).write.parquet(places["again"])
+        del anchors, grams
+        drop()
+        again = spark.read.parquet(places["again"])
+        kinds, _ = keep(again.groupBy("gram", "around", "around2").agg(F.count("*").alias("count"), F.min(F.struct("id", "t", "place", "right")).alias("one")))
+        # surroundings that occur twice
+        left = F.least(F.lit(_LEFT), F.col("place"))
+        whole = _of_keys(again, kinds.where("count > 1"), ["gram", "around", "around2"], total).where(left + F.col("right") >= WIDTH)
+        found = whole.select("id", "t", (F.col("place") - left).cast("int").alias("start"), (F.col("place") + F.col("right")).cast("int").alias("end"))
+        # others, in groups of one gram
+        several, _ = keep(kinds.groupBy("gram").count().where("count > 1"))
+        hot = F.broadcast(several.where(F.col("count") > most).select("gram"))
+        wanted = kinds.join(several.where(F.col("count") <= most).select("gram"), "gram", "left_semi")
+        columns = ("gram", "one.*", F.least("count", F.lit(2)).cast("int").alias("n"))
+        width = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        around = _surroundings(keyed, wanted.select(*columns)).repartition(width, "gram").sortWithinPartitions("gram")
+        found = found.unionByName(around.mapInArrow(_sorted_spans, "id long, t int, start int, end int"))
+        if not hot.isEmpty():
+            _surroundings(keyed, kinds.join(hot, "gram", "left_semi").select(*columns)).write.parquet(places["around"])
+            found = found.unionByName(_counted_spans(spark.read.parquet(places["around"])))
+        found.groupBy("id", "t").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")).write.parquet(places["spans"])
+        del around, found, whole, again, kinds, several, hot, wanted
+    finally:
+        drop("again", "around")
+    return spark.read.parquet(places["spans"])
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -316,13 +332,11 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     are repeats of one another. What is left need not be valid UTF-8. Rows without an id take part. Other columns are not
     looked at. An empty table gives an empty result.
     """
-    found, _ = spans(docs, key, text, most)
-    lists = found.groupBy("id", "t").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    rows = _keyed(docs, key, text).join(lists, ["id", "t"], "left").select("doc", F.col("text").cast("binary"), "starts", "ends")
+    rows = _keyed(docs, key, text).join(spans(docs, key, text, most), ["id", "t"], "left").select("doc", F.col("text").cast("binary"), "starts", "ends")
     ddl = "id long, n_bytes long, kept binary, starts array<int>, ends array<int>"
 
     def make():
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def of_slice(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, kept, first, last = [], [], [], []
             for data, starts, ends in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 runs = merged(starts or [], ends or [])
@@ -336,6 +350,10 @@ def remove_repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
                 last.append([b for _, b in runs])
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(first, pa.list_(pa.int32())), pa.array(last, pa.list_(pa.int32()))], [x.split()[0] for x in ddl.split(", ")])
 
+        def apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for a, b in slices(pc.binary_length(batch.column(1)).to_pylist(), 4 * BYTES):
+                yield of_slice(batch.slice(a, b - a))
+
         return apply
 
     return map_batches(rows, ddl, make).withColumnRenamed("id", key)

@@ -3,6 +3,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import deep_shallow as D
@@ -84,6 +85,42 @@ def test_memory_of_a_long_text():
     tracemalloc.stop()
 
 
+def test_memory_of_a_batch(spark, monkeypatch):
+    """A task holds a few slices of a batch as Python objects and numpy's arrays, not all of it."""
+    monkeypatch.setattr(S, "map_batches", lambda rows, ddl, make: make())
+    r = random.Random(8)
+    texts = [r.randbytes(500).hex() for _ in range(16_000)]
+    rows = pa.RecordBatch.from_pydict({"id": list(range(16_000)), "t": pa.array([0] * 16_000, pa.int32()), "text": texts})
+    own = pa.RecordBatch.from_pydict({"id": list(range(16_000)), "t": pa.array([0] * 16_000, pa.int32()), "text": [x.encode() for x in texts], **{k: [[300] * 15] * 16_000 for k in ("gram", "place", "right", "n")}})
+    frame = spark.createDataFrame([], "id long, t int, text string")
+    wanted = spark.createDataFrame([], "id long, t int, gram long, place int, right int, n int")
+    around = pa.RecordBatch.from_pydict({**{k: list(range(5000)) for k in ("gram", "id", "t", "place", "n")}, "before": [x[:136].encode() for x in texts[:5000]], "after": [x[136:336].encode() for x in texts[:5000]]})
+    for apply, batch in ((S._anchors(frame), rows), (S._surroundings(frame, wanted), own), (S._windows(wanted), around)):
+        tracemalloc.start()
+        out = apply(batch)
+        for _ in [out] if isinstance(out, pa.RecordBatch) else out:
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 50_000_000
+
+
+def test_few_tables_are_written(spark, tmp_path, monkeypatch):
+    """Hadoop starts a process for each file of a table that it writes locally; what is kept otherwise is dropped again."""
+    seen, release, kept = set(), S.release, spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def look(session, *paths):
+        seen.update(x.name for x in tmp_path.iterdir())
+        release(session, *paths)
+
+    monkeypatch.setattr(S, "release", look)
+    monkeypatch.setattr(S, "shared_dir", lambda session, purpose: f"{tmp_path}/{purpose}")
+    assert S.digests(table(spark, "/root/testdata/sf0.001", "documents")).count() == 200
+    assert seen == {"substrings-again", "substrings-spans"}
+    assert [x.name for x in tmp_path.iterdir()] == ["substrings-spans"]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
 def test_documents(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     rows = docs.collect()
